@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, suffixes, tiling
+from . import jaccard, pieces, suffixes, tiling
 
-MODULES = (jaccard, suffixes, tiling)
+MODULES = (jaccard, pieces, suffixes, tiling)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
