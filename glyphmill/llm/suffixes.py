@@ -168,8 +168,22 @@ def repeated(tokens: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
     return flags[at]
 
 
+def _shards(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Rows in pieces of whole keys with about ``most`` tokens each."""
+    for batch in _by_key(batches, 1 << 10):
+        key, column = batch.column("key").to_numpy(), batch.column("tokens")
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset + 1 : column.offset + len(column) + 1].astype(np.int64) // 4
+        cuts = np.concatenate([np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        lo, base = 0, int(ends[0])
+        while lo < len(key):
+            k = min(int(np.searchsorted(ends[cuts - 1], base + most)), len(cuts) - 1)
+            hi = int(cuts[max(k, int(np.searchsorted(cuts, lo, side="right")))])
+            yield batch.slice(lo, hi - lo)
+            lo, base = hi, int(ends[hi - 1])
+
+
 def _mark(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in _by_key(batches):
+    for batch in _shards(batches):
         column = batch.column("tokens")
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
         tokens = np.frombuffer(column.buffers()[2], np.uint32)[offsets[0] : offsets[-1]]
