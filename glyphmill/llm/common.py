@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a single-column key set may be broadcast (8 bytes a key, so at most 8 MB); beyond it the
@@ -43,3 +43,14 @@ def semi(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi", most:
 def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that a text operator reads, as ``doc_id`` and ``text``; other columns don't come along."""
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+
+
+def bounded_sample(df: DataFrame, rows: int) -> list[Row]:
+    """At most ``rows`` rows of a table with a ``doc_id``, those with the smallest hashes of it, in that order.
+
+    The identifiers are ranked first, without the texts, so that only the chosen rows' texts leave the executors.
+    """
+    first = df.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows).select("doc_id").distinct()
+    chosen = sorted(df.join(F.broadcast(first), "doc_id", "left_semi").collect(), key=lambda r: tuple((x is None, x) for x in r))
+    rank = {r.doc_id: k for k, r in enumerate(first.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect())}
+    return sorted(chosen, key=lambda r: rank[r.doc_id])[:rows]

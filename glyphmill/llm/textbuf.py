@@ -114,6 +114,12 @@ def tokenize_raw(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray = _WORD)
     if n:
         last[:-1] &= ~(inside[1:n] & ~first[1:])
     end = np.flatnonzero(last) + 1
+    doc = np.searchsorted(offsets, start, side="right") - 1
+    return Tokens(len(offsets) - 1, doc, start, end, span_hashes(raw, start, end))
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes of ascending spans that don't overlap."""
     hashes = np.empty(len(start), np.uint64)
     lo = 0
     with np.errstate(over="ignore"):
@@ -126,8 +132,7 @@ def tokenize_raw(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray = _WORD)
             s, e = start[lo:hi] - base, end[lo:hi] - base
             hashes[lo:hi] = (total[e] - total[s]) * inverse[s]
             lo = hi
-    doc = np.searchsorted(offsets, start, side="right") - 1
-    return Tokens(len(offsets) - 1, doc, start, end, mix(hashes))
+    return mix(hashes)
 
 
 def grams(tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
