@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, licences, pieces, quality, rules, secretscan, suffixes, tiling
+from . import chat, jaccard, langid, licences, pieces, quality, rules, secretscan, suffixes, tiling
 
-MODULES = (langid, tiling, quality, secretscan, pieces, suffixes, rules, jaccard, licences)
+MODULES = (langid, tiling, chat, quality, secretscan, pieces, suffixes, rules, jaccard, licences)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
