@@ -40,7 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokens_of(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *keep, text.words(F.col("text")).alias("tokens"))
+    return texts(spark, sf_dir, *keep).select("doc_id", *keep, text.words(F.col("text")).alias("tokens"))
+
+
+def texts(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return corpus.spread(table(spark, sf_dir, "documents").select("doc_id", "text", *keep))
 
 
 def r6(c: Column | str) -> Column:
@@ -124,7 +128,7 @@ def tokenize_words(spark, sf_dir):
 
 @query(f"SELECT doc_id, md5({NORMAL}) AS digest FROM documents")
 def normalize_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_line(F.col("text"))).alias("digest"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(text.normalize_line(F.col("text"))).alias("digest"))
 
 
 @query(f"SELECT count(CASE WHEN len({W}) > 0 THEN 1 END) AS docs, CAST(sum(len({W})) AS BIGINT) AS tokens FROM documents")
@@ -495,47 +499,47 @@ def stream_ngram_counts(spark, sf_dir):
 
 @query()
 def subword_tokenize(spark, sf_dir):
-    docs = subword.tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), subword.read_state(TOKENIZER))
+    docs = subword.tokenize(texts(spark, sf_dir), subword.read_state(TOKENIZER))
     return docs.select("doc_id", "tokens")
 
 
 @query()
 def subword_summary(spark, sf_dir):
     """The most frequent n-grams of 1 to 5 tokens."""
-    docs = subword.tokenize(table(spark, sf_dir, "documents").select("text"), subword.read_state(TOKENIZER))
+    docs = subword.tokenize(texts(spark, sf_dir).select("text"), subword.read_state(TOKENIZER))
     return ngrams.top_ngrams(ngrams.count_token_ngrams(docs, longest=5), TOP_K)
 
 
 def make_embedder(spark: SparkSession, sf_dir: str, longest: int = 3, dims: tuple[int, ...] = (96, 192), most: int = 200_000) -> embed.Embedder:
     """An untrained embedder whose vocabulary comes from the documents."""
     state = subword.read_state(TOKENIZER)
-    docs = subword.tokenize(table(spark, sf_dir, "documents").select("text"), state)
+    docs = subword.tokenize(texts(spark, sf_dir).select("text"), state)
     return embed.initialize(ngrams.count_token_ngrams(docs, longest=longest), state, dims, 4.0, most)
 
 
 @query()
 def embed_documents(spark, sf_dir):
     """Summary, vocabulary, random network, and the vectors of all documents."""
-    return make_embedder(spark, sf_dir).embed(table(spark, sf_dir, "documents"))
+    return make_embedder(spark, sf_dir).embed(texts(spark, sf_dir))
 
 
 @query()
 def embed_quantized(spark, sf_dir):
-    got = make_embedder(spark, sf_dir).embed(table(spark, sf_dir, "documents"))
+    got = make_embedder(spark, sf_dir).embed(texts(spark, sf_dir))
     return got.select("doc_id", vectors.quantize(F.col("embedding"), LIMIT).alias("embedding"))
 
 
 @query()
 def train_distilled(spark, sf_dir):
     """Loss by step of a small network that learns from a larger random one."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir)
     model = make_embedder(spark, sf_dir, longest=2, dims=(32, 16), most=20_000)
     teacher = embed.Embedder(model.tokenizer, model.ngrams, model.idf, embed.Network.random([len(model.idf), 64, 32], seed=5)).embed(docs)
     return training.metrics(spark, training.train(model, docs, teacher, epochs=2, size=100))
 
 
 def _classified(spark, sf_dir, kind: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    docs, labels = texts(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
     rows = ordering.stratified_split(labels, "label")
     own = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
     dims = 0

@@ -69,6 +69,23 @@ class Corpus:
                 yield batch
 
 
+#: Bytes a core up to which ``spread`` moves rows.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a table is of fewer files than there are cores and small.
+
+    A file of one row group is read by one task, whatever its size, and the operators here spend far more time on a
+    row than a shuffle of it. A table of many files, or of more than ``SPREAD_BYTES`` a core, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def limited(df: DataFrame, n: int) -> DataFrame:
     """The first rows that the engine finds, exactly ``n`` where there are as many."""
     return df.limit(n)
