@@ -113,3 +113,11 @@ def test_stream_embed(spark, files, tmp_path):
 
 def test_workfolder(spark):
     assert places.workfolder(spark) != places.workfolder(spark)
+
+
+def test_spread(spark, files, monkeypatch):
+    one = spark.read.parquet(str(files / "part2.parquet"))
+    assert corpus.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, corpus.spread(one).collect())) == sorted(map(tuple, one.collect()))
+    monkeypatch.setattr(corpus, "SPREAD_BYTES", 1)
+    assert corpus.spread(one) is one
