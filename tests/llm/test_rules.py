@@ -46,3 +46,31 @@ def test_edge_rows(spark):
     assert got.columns == df.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == ["4", "5", "5", "9", "None"]
     assert rules.keep_good(df.limit(0)).collect() == []
+
+
+def test_batches_and_columns_agree(spark):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    bits = ["a", "Ab", "ÄÖ", "straße", "Ω", "漢字", "𐐀", "|", "#", " ", "  ", "\t", "\n", "\f", "\r", ". ", "!? ", ".\t \n", "word word", "THE END", "é", " ", "."]
+    texts = [None, ""] + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 60))) for _ in range(600)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for name, rule in rules.default_rules(F.coalesce("text", F.lit(""))).items():
+        want = [r[0] for r in df.orderBy("doc_id").select(rule).collect()]
+        got = rules.RULES[name](rules.Texts.of(pa.array(texts, pa.string())))
+        assert got.tolist() == want, name
+    whole = rules.Texts.of(pa.array(texts, pa.string()))
+    on = [3, 50, 51, 400]
+    assert rules.RULES["upper_case"](whole.select(on)).tolist() == rules.RULES["upper_case"](whole)[on].tolist()
+
+
+def test_every_order_gives_the_same_survivors():
+    import itertools
+
+    import pyarrow as pa
+
+    texts = pa.array([None, "", "fine words here.", "### $$$ ###", "A | B | C | D", "SHOUTING ALL THE TIME HERE NOW", "no no no no no no no no no no no", "Same. " * 9], pa.string())
+    got = {tuple(rules.survivors(texts, list(o))[0].tolist()) for o in itertools.permutations(sorted(rules.RULES))}
+    assert got == {(2,)}
