@@ -110,11 +110,12 @@ def train(
     if not k:
         return LangModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, np.inf, buckets, sizes)
     rng = np.random.default_rng(seed)
-    ids, bounds = features(pa.array(texts, pa.large_string()), buckets, sizes)
     counts: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in range(len(texts)):
-        u, c = np.unique(ids[bounds[i] : bounds[i + 1]], return_counts=True)
-        counts.append((u, (c / max(1, c.sum())).astype(np.float32)))
+    for part in tb.slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"]), most=1 << 18):
+        ids, bounds = features(part.column("text"), buckets, sizes)
+        for i in range(part.num_rows):
+            u, c = np.unique(ids[bounds[i] : bounds[i + 1]], return_counts=True)
+            counts.append((u, (c / max(1, c.sum())).astype(np.float32)))
     y = np.array([languages.index(x) for x in labels])
     held = np.arange(len(texts)) % 5 == 4 if len(texts) >= 20 else np.zeros(len(texts), bool)
     fit = np.flatnonzero(~held & np.array([len(u) > 0 for u, _ in counts]))
