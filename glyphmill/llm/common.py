@@ -40,6 +40,18 @@ def semi(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi", most:
     return df.join(keys.hint(hint), on, how)
 
 
+#: Rows in an Arrow batch. Texts have kilobytes each, so the engine's 10,000 rows are tens of megabytes, several times
+#: over in the JVM and in Python.
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``ARROW_ROWS`` rows from now on, unless the session has a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that a text operator reads, as ``doc_id`` and ``text``; other columns don't come along."""
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import materialized, plain, semi, table
+from .common import materialized, plain, semi, small_batches, table
 from .jaccard import _by_key
 
 LENGTH, Q = 50, 8
@@ -213,6 +213,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     if not 1 <= q <= length:
         raise ValueError("q must be between 1 and length")
+    small_batches(docs.sparkSession)
     docs = plain(docs, id_col, text_col).where("doc_id IS NOT NULL")
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.mapInArrow(partial(_minimizers, length=length, q=q), f"key bigint, doc_id {kind}")
