@@ -79,11 +79,12 @@ def auc(score: np.ndarray, label: np.ndarray) -> float:
 
 def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, seed: int = 11) -> QualityModel:
     """Fit on four fifths of the rows, choose the cutoff on the rest. No rows give a model that scores all 0.5."""
-    ids, bounds = features(pa.array(texts, pa.large_string()), buckets)
     rows = []
-    for i in range(len(texts)):
-        u, c = np.unique(ids[bounds[i] : bounds[i + 1]], return_counts=True)
-        rows.append((np.append(u, buckets), np.append(c / max(1, c.sum()), 1.0)))
+    for part in tb.slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"]), most=1 << 18):
+        ids, bounds = features(part.column("text"), buckets)
+        for i in range(part.num_rows):
+            u, c = np.unique(ids[bounds[i] : bounds[i + 1]], return_counts=True)
+            rows.append((np.append(u, buckets), np.append(c / max(1, c.sum()), 1.0)))
     y = np.array(labels, np.float64)
     held = np.arange(len(texts)) % 5 == 4 if len(texts) >= 20 else np.zeros(len(texts), bool)
     z, n, w = np.zeros(buckets + 1), np.zeros(buckets + 1), np.zeros(buckets + 1)
