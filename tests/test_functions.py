@@ -104,3 +104,24 @@ def test_tokenizer_state_must_be_one():
 def test_norm_is_bound_once(spark):
     plan = spark.range(1).select(vectors.l2_normalize(F.array(F.lit(1.0), F.lit(2.0))).alias("v")).first()
     assert math.isclose(plan.v[0], 1 / math.sqrt(5))
+
+
+def test_words_that_recur_are_encoded_as_whole_texts_are():
+    import pyarrow.parquet as pq
+
+    own = subword.load(subword.read_state(TOKENIZER))
+    assert subword.splits_at_space(own.to_str())
+    assert not subword.splits_at_space(subword.read_state("/opt/tokenizers/byte_bpe_50k.json"))
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    texts += [None, "", " ", "\n\n", "a b\tc  d\r\n", "é ́x", "don't 'S", "<|endoftext|> <|end oftext|>", " x\x1cy", "ΑΣ ΣΑΣ", "x" * 5000]
+    for _ in range(2):
+        flat, bounds = subword.encode(own, texts)
+        whole, ends = subword.encode_whole(own, texts)
+        assert (bounds == ends).all() and (flat == whole).all()
+    words = subword.Words(own)
+    old, subword.MEMORY = subword.MEMORY, 5
+    try:
+        for t in texts[:20]:
+            assert words([t])[0].tolist() == own.encode(t, add_special_tokens=False).ids
+    finally:
+        subword.MEMORY = old
