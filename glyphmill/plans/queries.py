@@ -510,6 +510,12 @@ def subword_summary(spark, sf_dir):
     return ngrams.top_ngrams(ngrams.count_token_ngrams(docs, longest=5), TOP_K)
 
 
+@query()
+def ngram_hashes(spark, sf_dir):
+    """FNV-1a of every n-gram of 1 to 5 tokens of each document, padded to 5."""
+    return ngrams.ngram_hashes(texts(spark, sf_dir), subword.read_state(TOKENIZER))
+
+
 def make_embedder(spark: SparkSession, sf_dir: str, longest: int = 3, dims: tuple[int, ...] = (96, 192), most: int = 200_000) -> embed.Embedder:
     """An untrained embedder whose vocabulary comes from the documents."""
     state = subword.read_state(TOKENIZER)
