@@ -100,7 +100,7 @@ RULES = (
     Rule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-"), re.compile(r"xox[bpar]-(?P<value>[0-9A-Za-z-]{20,})"), _random_ok),
     Rule("stripe_key", ("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_(?P<value>[0-9A-Za-z]{20,})"), _random_ok),
     Rule("private_key", ("-----begin ",), re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[0-9A-Za-z+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----"), _plain_ok),
-    Rule("assigned_secret", _ASSIGNED, re.compile(r"(?i:" + "|".join(_ASSIGNED) + r")[\"']?[ \t]{0,3}(?::|=>?)[ \t]{0,3}[\"']?(?P<value>[0-9A-Za-z_/+=.-]{20,200})(?![0-9A-Za-z_/+=.-])"), _random_ok),
+    Rule("assigned_secret", _ASSIGNED, re.compile(r"(?i:" + "|".join(_ASSIGNED) + r")[\"']?[ \t]{0,3}(?::|=>?)[ \t]{0,3}[\"']?(?P<value>[0-9A-Za-z_/+=.-]{20,})(?![0-9A-Za-z_/+=.-])"), _random_ok),
 )
 
 

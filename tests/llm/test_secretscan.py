@@ -79,3 +79,12 @@ def test_edge_rows(spark):
     rows = {r.doc_id: r for r in out.where("doc_id < 5").collect()}
     assert rows[1].text is None and rows[2].text == "" and rows[3].text == "a <payment_card>." and rows[3].n_chars == 17
     assert out.where(F.col("text").contains(card)).count() == 0 and s.redact(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("size", [20, 200, 201, 1600, 5000])
+def test_long_assigned_values(spark, size):
+    value = base64.b64encode(random.Random(size).randbytes(size)).decode().rstrip("=")[: size - 1] + "7"
+    text = f'x private_key = "{value}" y'
+    assert s.Scanner()(text) == [(2, 17 + size, "assigned_secret", "none")] == brute(text)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert s.redact(df, "text").first().text == 'x <assigned_secret>" y'
