@@ -110,8 +110,24 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> I
             )
 
 
+def _wide(kind: pa.DataType) -> pa.DataType:
+    if pa.types.is_list(kind):
+        return pa.large_list(kind.value_type)
+    return {pa.binary(): pa.large_binary(), pa.string(): pa.large_string()}.get(kind, kind)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One batch of all rows. Strings, binaries and lists get 64-bit offsets, as 32 bits end at 2 GB a column."""
+    wide = pa.schema([(f.name, _wide(f.type)) for f in held[0].schema])
+    out = pa.Table.from_batches(held).cast(wide).combine_chunks().to_batches()
+    if len(out) != 1:
+        raise ValueError(f"{len(out)} batches where one was expected")
+    return out[0]
+
+
 def _by_key(batches: Iterator[pa.RecordBatch], least: int = 1 << 13) -> Iterator[pa.RecordBatch]:
-    """Batches of rows that are sorted on ``key``, rejoined so that all rows of a key are in one batch."""
+    """Batches of rows that are sorted on ``key``, rejoined so that all rows of a key are in one batch, with
+    64-bit offsets."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -129,9 +145,9 @@ def _by_key(batches: Iterator[pa.RecordBatch], least: int = 1 << 13) -> Iterator
         done, held = [*held[:-1], batch.slice(0, cut)], [batch.slice(cut)]
         rows = held[0].num_rows
         if out := [b for b in done if b.num_rows]:
-            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+            yield _joined(out)
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield _joined(held)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], bands: int, rows: int, threshold: float) -> Iterator[pa.RecordBatch]:

@@ -172,7 +172,7 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[
     """Rows in pieces of whole keys with about ``most`` tokens each."""
     for batch in _by_key(batches, 1 << 10):
         key, column = batch.column("key").to_numpy(), batch.column("tokens")
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset + 1 : column.offset + len(column) + 1].astype(np.int64) // 4
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset + 1 : column.offset + len(column) + 1] // 4
         cuts = np.concatenate([np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         lo, base = 0, int(ends[0])
         while lo < len(key):
@@ -182,10 +182,16 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[
             lo, base = hi, int(ends[hi - 1])
 
 
+def narrow(ids: pa.Array) -> pa.Array:
+    """Identifiers of the type that the engine gave."""
+    kind = {pa.large_binary(): pa.binary(), pa.large_string(): pa.string()}.get(ids.type)
+    return ids.cast(kind) if kind else ids
+
+
 def _mark(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in _shards(batches):
         column = batch.column("tokens")
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
         tokens = np.frombuffer(column.buffers()[2], np.uint32)[offsets[0] : offsets[-1]]
         bounds = offsets - offsets[0]
         flags = repeated(tokens, bounds, length)
@@ -198,7 +204,7 @@ def _mark(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         start = batch.column("start").to_numpy()[row[first]]
         lo = start + at[first] - bounds[row[first]]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(row[first])), pa.array(lo.astype(np.int32)), pa.array((lo + at[last] - at[first] + length).astype(np.int32))],
+            [narrow(batch.column("doc_id").take(pa.array(row[first]))), pa.array(lo.astype(np.int32)), pa.array((lo + at[last] - at[first] + length).astype(np.int32))],
             names=["doc_id", "lo", "hi"],
         )
 

@@ -76,3 +76,14 @@ def test_components(spark, edges):
                 root[a] = root[b] = min(root[a], root[b])
     got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == root
+
+
+def test_a_key_of_more_than_two_gigabytes_stays_whole():
+    import numpy as np
+    import pyarrow as pa
+
+    rows, size = 900, 1_000_000
+    offsets = pa.py_buffer((np.arange(rows + 1) * size).astype(np.int32).tobytes())
+    grams = pa.Array.from_buffers(pa.binary(), rows, [None, offsets, pa.py_buffer(bytes(rows * size))])
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * rows), grams], names=["key", "grams"])
+    assert [b.num_rows for b in jaccard._by_key(iter([batch] * 3))] == [3 * rows]

@@ -68,3 +68,9 @@ def test_edge_rows(spark):
     got = sorted(tuple(r) for r in suffixes.repeated_passages(df).collect())
     assert got == [(3, 0, 60), (4, 1, 61), (6, 0, 150_000), (7, 0, 60), (8, 1, 150_001)]
     assert suffixes.repeated_passages(df.limit(0)).collect() == []
+
+
+def test_string_identifiers(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([("a", words), ("b", "x " + words)], "doc_id string, text string")
+    assert sorted(map(tuple, suffixes.repeated_passages(df).collect())) == [("a", 0, 60), ("b", 1, 61)]
