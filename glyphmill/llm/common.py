@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable, Iterator
+from functools import partial
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a single-column key set may be broadcast (8 bytes a key, so at most 8 MB); beyond it the
-#: same join is shuffled.
+#: Rows up to which a table of a few numbers a row may be broadcast (8 to 32 bytes a row); beyond it the same join is
+#: shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -16,16 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared checkpoint folder, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one that the cluster names in ``spark.checkpoint.dir``, or that the
+    session was given. Only on one machine, as in tests, a temporary folder is chosen where neither is set."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="glyphmill-")
+        context.setCheckpointDir(shared)
+    return shared.rstrip("/")
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset, as in tests on one
-    machine, a temporary folder is chosen.
-    """
+
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder, so that a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="glyphmill-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -40,16 +52,41 @@ def semi(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi", most:
     return df.join(keys.hint(hint), on, how)
 
 
-#: Rows in an Arrow batch. Texts have kilobytes each, so the engine's 10,000 rows are tens of megabytes, several times
-#: over in the JVM and in Python.
+def lookup(df: DataFrame, values: DataFrame, on: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join with a narrow materialised table that has each key once. Up to ``most`` rows it is broadcast; beyond
+    that the join is sorted and shuffled, so that adaptive execution can split a key that many rows of ``df`` share."""
+    return df.join(values.hint("broadcast" if values.count() <= most else "merge"), on, "left")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_hash(df: DataFrame) -> Column:
+    """128 bits of a hash over all columns, as a struct, equal for rows that are equal as a whole."""
+    own = []
+    for name, kind in df.dtypes:
+        c = F.col("`" + name.replace("`", "``") + "`")
+        own += [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c, c.isNull()]
+    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(1), *own).alias("b"))
+
+
+#: Rows in a batch of wide rows. Texts have kilobytes each, so the engine's 10,000 rows are tens of megabytes, several
+#: times over in the JVM and in Python.
 ARROW_ROWS = 2000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of ``ARROW_ROWS`` rows from now on, unless the session has a number of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(ARROW_ROWS))
+def rebatched(stage: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = ARROW_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The Arrow stage with batches of at most ``rows`` rows, whatever the session's batch size."""
+    return partial(_rebatched, stage=stage, rows=rows)
+
+
+def _rebatched(batches: Iterator[pa.RecordBatch], stage, rows: int) -> Iterator[pa.RecordBatch]:
+    return stage(batch.slice(lo, rows) for batch in batches for lo in range(0, batch.num_rows, rows))
 
 
 def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,12 +94,21 @@ def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
 
-def bounded_sample(df: DataFrame, rows: int) -> list[Row]:
-    """At most ``rows`` rows of a table with a ``doc_id``, those with the smallest hashes of it, in that order.
+def bounded_sample(source: DataFrame, rows: int, finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[Row]:
+    """At most ``rows`` rows of ``finish(source)``, those with the smallest hashes of ``doc_id``, in that order; of
+    equal identifiers those with the smallest other columns.
 
-    The identifiers are ranked first, without the texts, so that only the chosen rows' texts leave the executors.
+    Only the rows of ``source`` whose hash is below a bound are looked at: the bound is set by the number of rows so
+    that twice as many rows as wanted are expected below it, and raised eightfold where ``finish`` (filters, joins)
+    leaves fewer than wanted. So a large table is counted, which needs no column, and read once, and never more than
+    ``rows`` rows reach the driver, however often an identifier is repeated.
     """
-    first = df.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows).select("doc_id").distinct()
-    chosen = sorted(df.join(F.broadcast(first), "doc_id", "left_semi").collect(), key=lambda r: tuple((x is None, x) for x in r))
-    rank = {r.doc_id: k for k, r in enumerate(first.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect())}
-    return sorted(chosen, key=lambda r: rank[r.doc_id])[:rows]
+    total = source.count()
+    share = 2 * rows / max(1, total)
+    while True:
+        below = source if share >= 1 else source.where(F.xxhash64("doc_id") < F.lit(int((2 * share - 1) * (1 << 63))))
+        got = finish(below)
+        best = got.withColumn("__h", F.xxhash64("doc_id")).orderBy("__h", *got.columns).limit(rows).drop("__h").collect()
+        if len(best) == rows or share >= 1:
+            return best
+        share *= 8

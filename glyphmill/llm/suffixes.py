@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import materialized, plain, semi, small_batches, table
+from .common import materialized, plain, rebatched, semi, table
 from .jaccard import _by_key
 
 LENGTH, Q = 50, 8
@@ -219,14 +219,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     if not 1 <= q <= length:
         raise ValueError("q must be between 1 and length")
-    small_batches(docs.sparkSession)
     docs = plain(docs, id_col, text_col).where("doc_id IS NOT NULL")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(partial(_minimizers, length=length, q=q), f"key bigint, doc_id {kind}")
+    found = docs.mapInArrow(rebatched(partial(_minimizers, length=length, q=q)), f"key bigint, doc_id {kind}")
     often = found.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("times > 1")
     hot = materialized(often.groupBy("doc_id").agg(F.collect_set("key").alias("hot")))
     texts = semi(docs, hot.select("doc_id"), "doc_id").join(hot.hint("shuffle_hash"), "doc_id")
-    parts = texts.mapInArrow(partial(_segments, length=length, q=q), f"key bigint, doc_id {kind}, start int, tokens binary")
+    parts = texts.mapInArrow(rebatched(partial(_segments, length=length, q=q)), f"key bigint, doc_id {kind}, start int, tokens binary")
     marked = parts.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_mark, length=length), f"doc_id {kind}, lo int, hi int")
     by = Window.partitionBy("doc_id").orderBy("lo", "hi")
     before = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))

@@ -99,4 +99,4 @@ def test_edge_rows(spark, tmp_path, rows):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
-    assert sorted(str(r.doc_id) for r in docs.collect()) == (["3", "3", "None"] if rows else [])
+    assert sorted(str(r.doc_id) for r in docs.collect()) == (["3", "None"] if rows else [])
