@@ -11,14 +11,21 @@ out in order of their scores and nothing else is expanded.
 No piece spans the place before a space or line break, so a text's lattice is a chain of chunks, each a run of
 spaces with the word after it or a line break with what follows. Chunks recur, so the Viterbi pass runs once for all
 chunks of a slice that weren't met before, vectorised over all of them, and also keeps the gap to each chunk's second
-best path. The N best segmentations of a text differ from the best only in the N - 1 chunks with the smallest gaps,
-so A-star runs on the lattice of those chunks.
+best path. The N best segmentations of a text differ from the best only in the N - 1 chunks with the smallest gaps:
+changing another chunk costs at least as much as each of N - 1 single changes. So one A-star runs backwards over the
+chain of those chunks, all others being passed on their best path.
+
+Since the heuristic is exact, the first branch of an expansion continues the path that is expanded and every other
+branch is another path whose final score is known at once. Branches that don't beat the N best known so far are
+dropped, and of equal scores the search follows the branch it made last, so a run of equal characters, with its
+exponential number of equally good paths, takes a number of steps proportional to its length.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -212,7 +219,7 @@ def best_paths(model: Model, chunks: list[str]) -> tuple[np.ndarray, np.ndarray,
 def long_path(model: Model, text: str) -> tuple[list[int], float, float]:
     """What ``best_paths`` gives for one chunk, for chunks too long to be handled in step with others."""
     size = len(text)
-    best, second = [0.0] + [-np.inf] * size, [-np.inf] * (size + 1)
+    best, second = array("d", [0.0]) + array("d", [-np.inf]) * size, array("d", [-np.inf]) * (size + 1)
     back: list[tuple[int, int]] = [(0, 0)] * (size + 1)
     for e in range(1, size + 1):
         for s in range(e - 1, max(-1, e - model.longest - 1), -1):
@@ -232,37 +239,83 @@ def long_path(model: Model, text: str) -> tuple[list[int], float, float]:
     return out[::-1], best[size], best[size] - second[size]
 
 
-def nbest(model: Model, text: str, n: int) -> list[tuple[float, list[tuple[int, int, int]]]]:
-    """The n best segmentations of a text (spaces as U+2581) by A-star, best first: score and edges (start, end,
-    piece). Equal scores come in the order in which they are met."""
-    size = len(text)
-    into: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
-    alpha = [0.0] + [-np.inf] * size
-    for e in range(1, size + 1):
-        for s in range(e - 1, max(-1, e - model.longest - 1), -1):
-            i = model.usable.get(text[s:e], -1)
-            if i < 0 and e - s > 1:
-                continue
-            v = model.unk_score if i < 0 else float(model.score[i])
-            into[e].append((s, i, v))
-            alpha[e] = max(alpha[e], alpha[s] + v)
-    heap: list = [(-alpha[size], 0, size, 0.0, None)]
+class Lattice:
+    """A chunk's lattice (spaces as U+2581) with its forward Viterbi scores. The edges that end at a place are looked
+    up when they are asked for; in chunks of up to ``LONG`` characters they are remembered."""
+
+    def __init__(self, model: Model, text: str):
+        self.model, self.text, self.size = model, text, len(text)
+        self.known: dict[int, list[tuple[int, int, float]]] = {}
+        self.alpha = alpha = array("d", bytes(8))
+        for e in range(1, self.size + 1):
+            alpha.append(max(alpha[s] + v for s, _, v in self.into(e)))
+
+    def into(self, e: int) -> list[tuple[int, int, float]]:
+        """Start, piece and score of the edges that end at ``e``, shortest first."""
+        got = self.known.get(e)
+        if got is None:
+            text, model, usable = self.text, self.model, self.model.usable
+            got = []
+            for s in range(e - 1, max(-1, e - model.longest - 1), -1):
+                i = usable.get(text[s:e], -1)
+                if i >= 0:
+                    got.append((s, i, float(model.score[i])))
+                elif e - s == 1:
+                    got.append((s, -1, model.unk_score))
+            if self.size <= LONG:
+                self.known[e] = got
+        return got
+
+
+def search(chain: list[Lattice], n: int) -> list[tuple[float, list[list[tuple[int, int, int]]]]]:
+    """The n best paths through a chain of lattices by A-star from its end, best first: score, and the edges (start,
+    end, piece) in each lattice. Of equal scores the path whose pieces from the end are shortest comes first; which of
+    further equal ones are given is settled by the order of the search, the same for the same chain."""
+    before = [0.0]
+    for one in chain[:-1]:
+        before.append(before[-1] + one.alpha[one.size])
+    total = before[-1] + chain[-1].alpha[chain[-1].size]
+    known = [total]  # scores of the n best paths met so far, a heap
+    heap: list = [(-total, 0, len(chain) - 1, chain[-1].size, 0.0, None)]
     tick, out = 0, []
     while heap and len(out) < n:
-        _, _, at, done, path = heapq.heappop(heap)
+        _, _, k, at, done, path = heapq.heappop(heap)
+        if not at and k:
+            k -= 1
+            at = chain[k].size
         if not at:
-            edges = []
+            edges: list[list[tuple[int, int, int]]] = [[] for _ in chain]
             while path is not None:
-                edges.append(path[0])
-                path = path[1]
+                own, edge, path = path
+                edges[own].append(edge)
             out.append((done, edges))
             continue
-        for s, i, v in into[at]:
-            tick += 1
-            heapq.heappush(heap, (-(alpha[s] + v + done), tick, s, done + v, ((s, at, i), path)))
+        alpha, base = chain[k].alpha, before[k] + done
+        into = chain[k].into(at)
+        first = 0
+        for c in range(1, len(into)):
+            if alpha[into[c][0]] + into[c][2] > alpha[into[first][0]] + into[first][2]:
+                first = c
+        for c in [*range(len(into) - 1, first, -1), *range(first - 1, -1, -1), first]:
+            s, i, v = into[c]
+            value = base + alpha[s] + v
+            if c != first:
+                if len(known) < n:
+                    heapq.heappush(known, value)
+                elif value > known[0]:
+                    heapq.heapreplace(known, value)
+                else:
+                    continue
+            tick -= 1
+            heapq.heappush(heap, (-value, tick, k, s, done + v, (k, (s, at, i), path)))
     return out
 
 
+def nbest(model: Model, text: str, n: int) -> list[tuple[float, list[tuple[int, int, int]]]]:
+    """The n best segmentations of a text (spaces as U+2581) as one lattice: score and edges, best first."""
+    return [(v, edges[0]) for v, edges in search([Lattice(model, text)], n)]
+
+
 def expand(model: Model, text: str, edges: list[tuple[int, int, int]]) -> list[int]:
     """Piece numbers of a path; a character that no piece has becomes its bytes."""
     out: list[int] = []
@@ -377,44 +430,38 @@ class Encoder:
         return ids, bounds, scores, others
 
     def _alternatives(self, near: np.ndarray, keys: list[str], ends: np.ndarray, base: int, best: float, s: list[float], o: list[dict], ids: np.ndarray) -> None:
-        """A-star over the lattice of the chunks at ``near``; what comes out besides the best path is appended."""
+        """A-star over the lattices of the chunks at ``near``; what comes out besides the best path is appended."""
         if not len(near):
             return
         model = self.model
         whole = [k if (k := keys[c])[:1] == "\n" and model.chained else SPACE + k.replace(" ", SPACE) for c in near.tolist()]
-        lists = [nbest_cached(model, w, self.n) for w in whole]
+        chain = [lattice_of(model, w) for w in whole]
         firsts = [ids[ends[c] : ends[c + 1]].tolist() for c in near.tolist()]
-        # per chunk the best path and its alternatives by falling score
-        ranked = []
-        for first, own in zip(firsts, lists, strict=True):
-            rest = [(v, p) for v, p in own if p != first][: self.n - 1]
-            ranked.append([(own[0][0], first), *rest])
-        top = sum(r[0][0] for r in ranked)
-        heap, seen = [(-top, (0,) * len(ranked))], {(0,) * len(ranked)}
-        while heap and len(s) < self.n:
-            value, choice = heapq.heappop(heap)
-            if any(choice):
-                s.append(best + (-value - top))
-                o.append({"edits": [{"start": int(ends[near[k]] - base), "end": int(ends[near[k] + 1] - base), "ids": ranked[k][c][1]} for k, c in enumerate(choice) if c]})
-            for k in range(len(ranked)):
-                if choice[k] + 1 < len(ranked[k]):
-                    nxt = (*choice[:k], choice[k] + 1, *choice[k + 1 :])
-                    if nxt not in seen:
-                        seen.add(nxt)
-                        heapq.heappush(heap, (-(top + sum(r[c][0] - r[0][0] for r, c in zip(ranked, nxt, strict=True))), nxt))
-
-
-_nbest: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
-
-
-def nbest_cached(model: Model, chunk: str, n: int) -> list[tuple[float, list[int]]]:
-    """n best paths of a chunk as piece numbers."""
-    key = (chunk, n)
-    if key not in _nbest:
-        if len(_nbest) > 50_000:
-            _nbest.clear()
-        _nbest[key] = [(v, expand(model, chunk, edges)) for v, edges in nbest(model, chunk, n)]
-    return _nbest[key]
+        got = search(chain, self.n)
+        top = got[0][0]
+        for value, path in got:
+            edits = []
+            for c, w, edges, first in zip(near.tolist(), whole, path, firsts, strict=True):
+                if (own := expand(model, w, edges)) != first:
+                    edits.append({"start": int(ends[c] - base), "end": int(ends[c + 1] - base), "ids": own})
+            if edits and len(s) < self.n:
+                s.append(best + (value - top))
+                o.append({"edits": edits})
+
+
+_lattices: dict[str, Lattice] = {}
+
+
+def lattice_of(model: Model, chunk: str) -> Lattice:
+    """The lattice of a chunk, remembered if it is short."""
+    if len(chunk) > LONG:
+        return Lattice(model, chunk)
+    got = _lattices.get(chunk)
+    if got is None or got.model is not model:
+        if len(_lattices) > 50_000:
+            _lattices.clear()
+        got = _lattices[chunk] = Lattice(model, chunk)
+    return got
 
 
 class Decoder:
@@ -477,7 +524,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     One row comes out for each row that goes in. A null text has nulls, an empty one no pieces, no scores and a true
     ``round_trip``. Of equal scores the path whose pieces from the end are shortest is the best; which of equally
-    scored alternatives are given is settled by the order of the search, the same for the same text. U+2581 in a
+    scored alternatives are given is settled by the order of the search, the same for the same text, so repeated rows
+    get equal results. A very long text, or a long run without a space, takes time and memory in proportion. U+2581 in a
     text stands for a space in the piece alphabet, so such a text comes back with a space in its place. An empty
     table gives no rows. Other columns are ignored.
     """

@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 
 from glyphmill.llm import pieces
@@ -69,6 +71,63 @@ def test_viterbi_agrees_with_search(model):
         assert (path, s, g) == (ids[bounds[k] : bounds[k + 1]].tolist(), score[k], gap[k])
 
 
+@pytest.mark.parametrize("unit", ["-", "a", "=", " ", "ab", "你"])
+def test_short_runs_against_all_segmentations(model, unit):
+    for size in range(1, 15):
+        text = (unit * size)[:14]
+        _, _, scores, others = pieces.Encoder(model, 5)([text])
+        want = brute(model, pieces.SPACE + text.replace(" ", pieces.SPACE), 5)
+        assert scores[0] == pytest.approx(want, abs=1e-6) and len(others[0]) == len(scores[0]) - 1
+
+
+@pytest.mark.parametrize("text", ["-" * 100_000, " " * 100_000, "ab" * 50_000, "\n" * 50_000, "=-" * 400 + " x"], ids=["dashes", "blanks", "letters", "breaks", "mixed"])
+def test_long_runs_take_seconds(model, text):
+    began = time.perf_counter()
+    ids, bounds, scores, others = pieces.Encoder(model, 4)([text])
+    assert time.perf_counter() - began < 30
+    many = 1 if text[0] == "\n" else 4  # a line break has no other segmentation
+    assert len(scores[0]) == many and scores[0] == sorted(scores[0], reverse=True)
+    raw, _ = pieces.Decoder(model)(ids, bounds)
+    assert raw.tobytes() == (" " + text).encode()
+    paths = {tuple(ids.tolist())}
+    for o in others[0]:
+        p = ids.tolist()
+        for e in sorted(o["edits"], key=lambda e: -e["start"]):
+            p[e["start"] : e["end"]] = e["ids"]
+        paths.add(tuple(p))
+        assert pieces.Decoder(model)(np.array(p), np.array([0, len(p)]))[0].tobytes() == (" " + text).encode()
+    assert len(paths) == many
+
+
+def by_sums(model, text, n):
+    """Scores of the n best segmentations by keeping n for every place of the whole text."""
+    best = [[0.0]]
+    for e in range(1, len(text) + 1):
+        own = []
+        for s in range(max(0, e - model.longest), e):
+            i = model.usable.get(text[s:e], -1)
+            if i >= 0 or e - s == 1:
+                own += [v + (model.score[i] if i >= 0 else model.unk_score) for v in best[s]]
+        best.append(sorted(own, reverse=True)[:n])
+    return best[-1]
+
+
+def test_whole_table_scores_against_brute_force(spark, model):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in pieces.op6_sentencepiece(spark, SF).collect():
+        t = texts[r.doc_id]
+        assert r.scores == pytest.approx(by_sums(model, pieces.SPACE + t.replace(" ", pieces.SPACE), pieces.NBEST), rel=1e-12)
+        for score, p in zip(r.scores, [r.ids, *[_edited(r.ids, o.edits) for o in r.alternatives]], strict=True):
+            assert score_of(model, p) == pytest.approx(score, rel=1e-12)
+
+
+def _edited(ids, edits):
+    out = list(ids)
+    for e in sorted(edits, key=lambda e: -e.start):
+        out[e.start : e.end] = e.ids
+    return out
+
+
 def test_whole_table_round_trip(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = pieces.op6_sentencepiece(spark, SF)
