@@ -4,6 +4,10 @@ One automaton holds the keywords of all rules. Only where a keyword stands is it
 anchored at the keyword's first character, so the cost is that of one pass of the automaton over the text. What
 matches is then validated: token formats that embed a checksum must have the right one (base-62 CRC-32, Luhn), a
 signed web token must have a readable header, and formats without a checksum must at least look random.
+
+Values of open length end where their run of characters ends. Keywords that stand within one another's values, as when
+a keyword is repeated, share that run: its end is looked for once, and the randomness of all values in it is counted in
+one walk from its end, so a text of nothing but keywords takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -70,9 +74,24 @@ def entropy(text: str) -> float:
     return -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values())
 
 
-def _random_ok(m: re.Match) -> str | None:
-    value = m.group("value")
-    return "none" if entropy(value) >= 2.8 and any(c.isdigit() for c in value) else None
+#: Bits per character that a value without a checksum has at least, and its least number of characters.
+RANDOM, LEAST = 2.8, 20
+
+
+def random_suffixes(text: str, starts: list[int], end: int) -> list[bool]:
+    """For each start, falling: whether ``text[start:end]`` looks random, that is, has a digit and ``RANDOM`` bits per
+    character. Counts are carried on from one start to the next."""
+    counts: Counter[str] = Counter()
+    total, digits, at, out = 0.0, 0, end, []
+    for start in starts:
+        for c in text[start:at]:
+            n = counts[c]
+            counts[c] = n + 1
+            total += (n + 1) * math.log2(n + 1) - (n * math.log2(n) if n else 0.0)
+            digits += c.isdigit()
+        at = start
+        out.append(digits > 0 and round(math.log2(end - start) - total / (end - start), 9) >= RANDOM)
+    return out
 
 
 def _plain_ok(_: re.Match) -> str | None:
@@ -82,12 +101,15 @@ def _plain_ok(_: re.Match) -> str | None:
 @dataclass(frozen=True)
 class Rule:
     """Lower-case keywords, an expression that matches from the keyword's first character on, and a check that
-    gives the state of the checksum (``valid``, or ``none`` for formats without one), or None to discard."""
+    gives the state of the checksum (``valid``, or ``none`` for formats without one), or None to discard. With ``run``
+    the expression ends where the value begins, and the value is the run of such characters, at least ``LEAST`` of
+    them, that look random."""
 
     kind: str
     keywords: tuple[str, ...]
     pattern: re.Pattern
-    check: Callable[[re.Match], str | None]
+    check: Callable[[re.Match], str | None] = _plain_ok
+    run: re.Pattern | None = None
 
 
 _ASSIGNED = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "auth_key", "private_key")
@@ -97,10 +119,10 @@ RULES = (
     Rule("payment_card", tuple(f"{a}{b}" for a in "23456" for b in "0123456789"), re.compile(r"(?<![0-9A-Za-z.])[2-6][0-9](?:[ -]?[0-9]){11,17}(?![0-9])"), _card_ok),
     Rule("web_token", ("eyj",), re.compile(r"(?<![0-9A-Za-z_-])eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{16,}"), _jwt_ok),
     Rule("aws_key_id", ("akia", "asia"), re.compile(r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[2-7A-Z]{16}(?![0-9A-Za-z])"), _plain_ok),
-    Rule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-"), re.compile(r"xox[bpar]-(?P<value>[0-9A-Za-z-]{20,})"), _random_ok),
-    Rule("stripe_key", ("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_(?P<value>[0-9A-Za-z]{20,})"), _random_ok),
+    Rule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-"), re.compile(r"(?<![0-9A-Za-z])xox[bpar]-"), run=re.compile(r"[0-9A-Za-z-]*")),
+    Rule("stripe_key", ("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_"), run=re.compile(r"[0-9A-Za-z]*")),
     Rule("private_key", ("-----begin ",), re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[0-9A-Za-z+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----"), _plain_ok),
-    Rule("assigned_secret", _ASSIGNED, re.compile(r"(?i:" + "|".join(_ASSIGNED) + r")[\"']?[ \t]{0,3}(?::|=>?)[ \t]{0,3}[\"']?(?P<value>[0-9A-Za-z_/+=.-]{20,})(?![0-9A-Za-z_/+=.-])"), _random_ok),
+    Rule("assigned_secret", _ASSIGNED, re.compile(r"(?i:" + "|".join(_ASSIGNED) + r")[\"']?[ \t]*(?::|=>?)[ \t]*[\"']?"), run=re.compile(r"[0-9A-Za-z_/+=.-]*")),
 )
 
 
@@ -132,11 +154,30 @@ class Scanner:
         if not text:
             return []
         found = []
+        runs: dict[int, dict[int, list[tuple[int, int]]]] = {}  # by rule and end of the run: (value's start, keyword's start)
+        last: dict[int, tuple[int, int]] = {}  # by rule: the run looked at last
         for end, (size, own) in self.automaton.iter(folded(text)):
+            at = end - size + 1
             for k in own:
-                m = self.rules[k].pattern.match(text, end - size + 1)
-                if m and (state := self.rules[k].check(m)):
-                    found.append((m.start(), -m.end(), k, state))
+                rule = self.rules[k]
+                m = rule.pattern.match(text, at)
+                if not m:
+                    continue
+                if rule.run is None:
+                    if state := rule.check(m):
+                        found.append((m.start(), -m.end(), k, state))
+                    continue
+                value = m.end()
+                lo, hi = last.get(k, (0, -1))
+                if not lo <= value < hi:
+                    hi = rule.run.match(text, value).end()
+                    last[k] = (value, hi)
+                if hi - value >= LEAST:
+                    runs.setdefault(k, {}).setdefault(hi, []).append((value, at))
+        for k, ends in runs.items():
+            for hi, starts in ends.items():
+                starts.sort(reverse=True)
+                found += [(at, -hi, k, "none") for (_, at), ok in zip(starts, random_suffixes(text, [v for v, _ in starts], hi), strict=True) if ok]
         return settle(found, self.rules)
 
 
@@ -167,7 +208,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     (``valid`` where the format has a checksum, else ``none``). The secret itself isn't returned.
 
     Null and empty texts have none. Rows without identifier are scanned and give rows without one; repeated rows give
-    theirs each. An empty table gives no rows. Other columns are ignored.
+    theirs each. Very long texts are scanned whole, and values may have any length. An empty table gives no rows. Other
+    columns are ignored.
     """
     docs = plain(docs, id_col, text_col)
     return docs.mapInArrow(_scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, kind string, start int, end int, checksum string")
@@ -199,7 +241,8 @@ def _redact(batches: Iterator[pa.RecordBatch], at: int, size_at: int) -> Iterato
 
 def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = None) -> DataFrame:
     """All rows and columns, with each secret in the text replaced by its kind in angle brackets. ``size_col`` names
-    a column that holds the number of characters; it follows the text. Null and empty texts stay as they are."""
+    a column that holds the number of characters; it follows the text. Null and empty texts stay as they are; repeated
+    rows change alike; very long texts are searched whole. An empty table stays empty."""
     size_at = docs.columns.index(size_col) if size_col else -1
     return docs.mapInArrow(partial(_redact, at=docs.columns.index(text_col), size_at=size_at), docs.schema)
 

@@ -1,6 +1,9 @@
 import base64
 import json
+import math
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,15 +13,62 @@ from glyphmill.llm import secretscan as s
 SF = "/root/testdata/sf0.001"
 
 
+ASSIGNED = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "auth_key", "private_key")
+
+
+def _looks_random(value):
+    counts = [value.count(c) for c in set(value)]
+    bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts)
+    return any(c.isdigit() for c in value) and round(bits, 9) >= 2.8
+
+
+def _crc(m):
+    return s.base62_crc(m[0][4:34]) == m[0][34:40]
+
+
+def _card(m):
+    digits = [int(c) for c in m[0] if c.isdigit()]
+    odd, even = digits[-1::-2], digits[-2::-2]
+    known = re.match("4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[0689]|3[457]|6011|62|64[4-9]|65", "".join(map(str, digits)))
+    return known and 13 <= len(digits) <= 19 and (sum(odd) + sum(sum(divmod(2 * d, 10)) for d in even)) % 10 == 0
+
+
+def _jwt(m):
+    try:
+        head = m[0].partition(".")[0]
+        return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except ValueError:
+        return False
+
+
+#: Written apart from the rules of the module: kind, expression for the whole secret, check, checksum state.
+WHOLE = [
+    ("github_token", re.compile(r"(?<![0-9A-Za-z])gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])"), _crc, "valid"),
+    ("npm_token", re.compile(r"(?<![0-9A-Za-z])npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])"), _crc, "valid"),
+    ("payment_card", re.compile(r"(?<![0-9A-Za-z.])[2-6][0-9](?:[ -]?[0-9]){11,17}(?![0-9])"), _card, "valid"),
+    ("web_token", re.compile(r"(?<![0-9A-Za-z_-])eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{16,}"), _jwt, "valid"),
+    ("aws_key_id", re.compile(r"(?<![0-9A-Za-z])A[KS]IA[2-7A-Z]{16}(?![0-9A-Za-z])"), None, "none"),
+    ("slack_token", re.compile(r"(?<![0-9A-Za-z])xox[abpr]-([0-9A-Za-z-]{20,})"), lambda m: _looks_random(m[1]), "none"),
+    ("stripe_key", re.compile(r"[rs]k_live_([0-9A-Za-z]{20,})"), lambda m: _looks_random(m[1]), "none"),
+    ("private_key", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[0-9A-Za-z+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----"), None, "none"),
+    ("assigned_secret", re.compile("(?i:" + "|".join(ASSIGNED) + r""")["']?[ \t]*(?::|=>|=)[ \t]*["']?([0-9A-Za-z_/+=.-]{20,})"""), lambda m: _looks_random(m[1]), "none"),
+]
+
+
 def brute(text):
-    """Every rule tried at every place."""
+    """Every expression tried at every place; of overlapping secrets the first, then the longest, then the first kind."""
     found = []
     for at in range(len(text or "")):
-        for k, rule in enumerate(s.RULES):
-            m = rule.pattern.match(text, at)
-            if m and (state := rule.check(m)):
-                found.append((m.start(), -m.end(), k, state))
-    return s.settle(found, s.RULES)
+        for k, (kind, pattern, check, state) in enumerate(WHOLE):
+            m = pattern.match(text, at)
+            if m and (check is None or check(m)):
+                found.append((at, -m.end(), k, kind, state))
+    out, last = [], 0
+    for at, end, _, kind, state in sorted(found):
+        if at >= last:
+            out.append((at, -end, kind, state))
+            last = -end
+    return out
 
 
 def github(rng):
@@ -88,3 +138,35 @@ def test_long_assigned_values(spark, size):
     assert s.Scanner()(text) == [(2, 17 + size, "assigned_secret", "none")] == brute(text)
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert s.redact(df, "text").first().text == 'x <assigned_secret>" y'
+
+
+def test_keywords_inside_values():
+    rng = random.Random(2)
+    for _ in range(60):
+        text = ""
+        for _ in range(12):
+            text += rng.choice(["token=", "xoxb-", "xoxp-1", "secret: ", "aaaa", "-", "password=>'", "sk_live_", "9x8y7z6w5v4u3t2s1r0q", "=", " ", "api_key\t\t   =    ", "abcdefghijklmnopqrstuvwx1"])
+        assert s.Scanner()(text) == brute(text), text
+
+
+@pytest.mark.parametrize("unit", ["token=", "xoxb-", "xoxb-1", "token1=", "-----BEGIN A ", "eyJhbGciOi.", "ghp_", "4111 ", "password   ", "sk_live_"])
+def test_a_megabyte_of_keywords(unit):
+    text = unit * (1_000_000 // len(unit))
+    s.Scanner()("x")
+    best = 99.0
+    for _ in range(2):
+        began = time.perf_counter()
+        s.Scanner()(text)
+        best = min(best, time.perf_counter() - began)
+    assert best < 8
+    assert s.Scanner()(unit * 40) == brute(unit * 40)
+
+
+@pytest.mark.parametrize("blanks", [0, 3, 4, 50])
+def test_blanks_around_the_sign(blanks):
+    text = f"secret{' ' * blanks}={' ' * blanks}04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert s.Scanner()(text) == [(0, len(text), "assigned_secret", "none")]
+
+
+def test_left_boundary():
+    assert s.Scanner()("axoxb-123456789012-abcdefABCDEF") == [] and len(s.Scanner()("-xoxb-123456789012-abcdefABCDEF")) == 1
