@@ -8,7 +8,7 @@ by type over the whole conversation, so placeholders and recorded attachments co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -27,7 +27,7 @@ class PartVisitor:
 
     def text(self, part: Column, number: Column) -> tuple[Column, Column]:
         shown = F.coalesce(part["text"], F.lit(""))
-        return shown, self.text_tokens(shown)
+        return escaped(shown), self.text_tokens(shown)
 
     def image(self, part: Column, number: Column) -> tuple[Column, Column]:
         """One token per patch of 28 pixels a side, and two that frame the image; an unknown size counts as one
@@ -55,39 +55,59 @@ class PartVisitor:
         return F.struct(shown.alias("shown"), tokens.cast("bigint").alias("tokens"))
 
 
+def escaped(text: Column) -> Column:
+    """The text with a backslash put into every ``<|``, and one more where backslashes stand there already, so that no
+    text can hold a placeholder or end a message. ``unescaped`` takes them out again."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
+
+
 def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", visitor: PartVisitor | None = None) -> DataFrame:
     """One row per conversation: ``conv_id``, ``prompt``, ``n_tokens`` (text and expanded attachments), ``n_messages``,
     and ``attachments``, an array of (type, number, ref, turn, tokens) in the order of the prompt.
 
     ``parts_col`` is an array of ``PART``. Messages come in order of turn, then role, then parts; each is written as
-    ``<|role|>`` and a line break, its parts one a line, and ``<|end|>``. A null role is ``user``. Null parts, null
-    texts and empty messages give no text and no tokens. Repeated rows are repeated messages. Rows without
-    conversation are left out. An empty table gives no rows. Other columns are ignored.
+    ``<|role|>`` and a line break, its parts one a line, and ``<|end|>``. Marks in texts are ``escaped``, and of a role
+    letters, digits, blanks and ``_.-`` stay while others become ``_``, so every placeholder in the prompt is that of an
+    attachment; tokens are those of the text as it was. A null role is ``user``. Null parts, null texts and empty
+    messages give no text and no tokens. Repeated rows are repeated messages. Rows without conversation are left out. A
+    long conversation or text takes time in proportion. An empty table gives no rows. Other columns are ignored.
+
+    One shuffle by conversation serves the numbering of messages, that of parts and the assembly.
     """
     visitor = visitor or PartVisitor()
+    role = F.regexp_replace(F.coalesce(messages[role_col], F.lit("user")), r"[^\p{L}\p{N}_ .-]", "_")
     own = messages.select(
-        messages[conv_col].alias("conv_id"), messages[turn_col].alias("turn"), F.coalesce(messages[role_col], F.lit("user")).alias("role"),
+        messages[conv_col].alias("conv_id"), messages[turn_col].alias("turn"), role.alias("role"),
         F.filter(F.coalesce(messages[parts_col], F.from_json(F.lit("[]"), f"array<{PART}>")), lambda p: p.isNotNull()).alias("parts"),
     ).where("conv_id IS NOT NULL")
-    talk = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "parts"))).alias("messages"))
-    flat = F.flatten(F.transform("messages", lambda m: F.transform(m["parts"], lambda p: F.struct(m["turn"].alias("turn"), p.alias("part")))))
-    talk = talk.withColumn("flat", flat).withColumn("kinds", F.transform("flat", lambda x: x["part"]["type"]))
-    number = lambda i, kind: F.size(F.filter(F.slice("kinds", 1, i + 1), lambda k: k == kind))
-    talk = talk.withColumn("seen", F.transform("flat", lambda x, i: visitor.visit(x["part"], number(i, x["part"]["type"]))))
-    start = F.transform("messages", lambda m, i: F.aggregate(F.slice("messages", 1, i), F.lit(0), lambda s, x: s + F.size(x["parts"])))
-    talk = talk.withColumn("start", start)
-    body = lambda m, i: F.array_join(F.transform(F.slice("seen", F.element_at("start", i + 1) + 1, F.size(m["parts"])), lambda s: s["shown"]), "\n")
-    prompt = F.array_join(F.transform("messages", lambda m, i: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), body(m, i), F.lit("\n<|end|>"))), "\n")
-    with_seen = F.transform("flat", lambda x, i: F.struct(
-        x["part"]["type"].alias("type"), number(i, x["part"]["type"]).cast("bigint").alias("number"), x["part"]["ref"].alias("ref"), x["turn"].cast("bigint").alias("turn"),
-        F.element_at("seen", i + 1)["tokens"].alias("tokens"),
-    ))
+    ordered = own.withColumn("m", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "parts")))
+    flat = ordered.select("conv_id", "m", "turn", "role", F.posexplode_outer("parts").alias("p", "part"))
+    number = F.row_number().over(Window.partitionBy("conv_id", "part.type").orderBy("m", "p"))
+    seen = flat.withColumn("number", number).withColumn("seen", visitor.visit(F.col("part"), F.col("number")))
+    attachment = F.struct(
+        "p", F.col("part.type").alias("type"), F.col("number").cast("bigint").alias("number"), F.col("part.ref").alias("ref"), F.col("turn").cast("bigint").alias("turn"), F.col("seen.tokens").alias("tokens")
+    )
+    is_part = F.col("part").isNotNull()
+    by_message = seen.groupBy("conv_id", "m").agg(
+        F.first("role").alias("role"),
+        F.array_sort(F.collect_list(F.when(is_part, F.struct("p", F.col("seen.shown").alias("shown"))))).alias("lines"),
+        F.sum(F.when(is_part, F.col("seen.tokens")).otherwise(0)).alias("tokens"),
+        F.array_sort(F.collect_list(F.when(F.col("part.type").isin(*TYPES), attachment))).alias("attachments"),
+    )
+    body = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.array_join(F.col("lines.shown"), "\n"), F.lit("\n<|end|>"))
+    talk = by_message.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("m", body.alias("body"), "attachments"))).alias("messages"), F.sum("tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_messages")
+    )
     return talk.select(
         "conv_id",
-        prompt.alias("prompt"),
-        F.aggregate("seen", F.lit(0).cast("bigint"), lambda s, x: s + x["tokens"]).alias("n_tokens"),
-        F.size("messages").cast("bigint").alias("n_messages"),
-        F.filter(with_seen, lambda a: a["type"].isin(*TYPES)).alias("attachments"),
+        F.array_join(F.col("messages.body"), "\n").alias("prompt"),
+        "n_tokens",
+        "n_messages",
+        F.transform(F.flatten("messages.attachments"), lambda a: F.struct(a["type"].alias("type"), a["number"].alias("number"), a["ref"].alias("ref"), a["turn"].alias("turn"), a["tokens"].alias("tokens"))).alias("attachments"),
     )
 
 
@@ -114,10 +134,10 @@ QUERIES = {"op3_chat_format": op3_chat_format}
 ORACLES = {
     "op3_chat_format": r"""
 WITH m AS (
-  SELECT c.conv_id, c.turn, coalesce(c.role, 'user') AS role, coalesce(c.text, '') AS text, p.url, CAST(ceil(length(p.html) / 3000) AS INTEGER) AS pages
+  SELECT c.conv_id, c.turn, regexp_replace(coalesce(c.role, 'user'), '[^\p{L}\p{N}_ .-]', '_', 'g') AS role, coalesce(c.text, '') AS text, p.url, CAST(ceil(length(p.html) / 3000) AS INTEGER) AS pages
   FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id WHERE c.conv_id IS NOT NULL
 ), parts AS (
-  SELECT conv_id, turn, role, 0 AS k, 'text' AS type, text AS shown, NULL AS ref, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^ \t\n\r\f\p{L}\p{N}]')) AS tokens FROM m
+  SELECT conv_id, turn, role, 0 AS k, 'text' AS type, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS shown, NULL AS ref, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^ \t\n\r\f\p{L}\p{N}]')) AS tokens FROM m
   UNION ALL SELECT conv_id, turn, role, 1, 'document', NULL, url, pages * 256 FROM m WHERE role = 'user' AND turn < 2 AND url IS NOT NULL
   UNION ALL SELECT conv_id, turn, role, 2, 'image', NULL, 'image/' || conv_id || '/' || turn, CAST(ceil((200 + conv_id % 7 * 100) / 28) * 12 + 2 AS BIGINT)
     FROM m WHERE role = 'user' AND (conv_id + turn) % 3 = 0
