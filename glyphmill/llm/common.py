@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -80,13 +81,25 @@ def row_hash(df: DataFrame) -> Column:
 ARROW_ROWS = 2000
 
 
-def rebatched(stage: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = ARROW_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The Arrow stage with batches of at most ``rows`` rows, whatever the session's batch size."""
-    return partial(_rebatched, stage=stage, rows=rows)
+def lean(stage: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = ARROW_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The Arrow stage with batches of at most ``rows`` rows, whatever the session's batch size, and with memory that
+    it no longer needs given back when a partition ends: workers live on through the stages of a job."""
+    return partial(_lean, stage=stage, rows=rows)
 
 
-def _rebatched(batches: Iterator[pa.RecordBatch], stage, rows: int) -> Iterator[pa.RecordBatch]:
-    return stage(batch.slice(lo, rows) for batch in batches for lo in range(0, batch.num_rows, rows))
+def _lean(batches: Iterator[pa.RecordBatch], stage, rows: int) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from stage(batch.slice(lo, rows) for batch in batches for lo in range(0, batch.num_rows, rows))
+    finally:
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # a C library that has no such function
+    _trim = None
 
 
 def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -94,20 +107,20 @@ def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
 
-def bounded_sample(source: DataFrame, rows: int, finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[Row]:
-    """At most ``rows`` rows of ``finish(source)``, those with the smallest hashes of ``doc_id``, in that order; of
-    equal identifiers those with the smallest other columns.
+def bounded_sample(source: DataFrame, rows: int, finish: Callable[[DataFrame, int], DataFrame] = lambda df, expected: df) -> list[Row]:
+    """At most ``rows`` rows of ``finish(source, expected)``, those with the smallest hashes of ``doc_id``, in that
+    order; of equal identifiers those with the smallest other columns.
 
     Only the rows of ``source`` whose hash is below a bound are looked at: the bound is set by the number of rows so
     that twice as many rows as wanted are expected below it, and raised eightfold where ``finish`` (filters, joins)
-    leaves fewer than wanted. So a large table is counted, which needs no column, and read once, and never more than
+    leaves fewer than wanted. ``finish`` is told how many rows of ``source`` to expect. So a large table is counted, which needs no column, and read once, and never more than
     ``rows`` rows reach the driver, however often an identifier is repeated.
     """
     total = source.count()
     share = 2 * rows / max(1, total)
     while True:
         below = source if share >= 1 else source.where(F.xxhash64("doc_id") < F.lit(int((2 * share - 1) * (1 << 63))))
-        got = finish(below)
+        got = finish(below, int(min(1.0, share) * total) + 1)
         best = got.withColumn("__h", F.xxhash64("doc_id")).orderBy("__h", *got.columns).limit(rows).drop("__h").collect()
         if len(best) == rows or share >= 1:
             return best

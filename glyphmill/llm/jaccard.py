@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import lookup, materialized, row_hash, semi, table, unused
+from .common import lean, lookup, materialized, row_hash, semi, table, unused
 
 NGRAM, THRESHOLD, RECALL = 3, 0.5, 0.95
 #: Nodes of a bucket in one block.
@@ -240,7 +240,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
     """A row with the n-gram set for every group that needs the text. ``uses`` is one array a text, so slices are
     kept small by text and the sets of a text go out a few at a time."""
     for batch in batches:
-        for part in tb.slices(batch, most=1 << 22):
+        for part in tb.slices(batch):
             flat, bounds = gram_sets(tb.tokenize(part.column("text")), n)
             sizes = np.diff(bounds)
             small = (flat >> np.uint64(32)).astype(np.uint32)
@@ -376,20 +376,20 @@ def similar_nodes(docs: DataFrame, n: int, threshold: float, recall: float, ever
     """
     bands, rows = band_plan(threshold, recall)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = materialized(docs.mapInArrow(partial(_sign, n=n, count=bands * rows), f"doc_id {kind}, row struct<a:bigint,b:bigint>, fp bigint, n int, sig binary"))
+    signed = materialized(docs.mapInArrow(lean(partial(_sign, n=n, count=bands * rows)), f"doc_id {kind}, row struct<a:bigint,b:bigint>, fp bigint, n int, sig binary"))
     nodes = materialized(
         signed.where("fp IS NOT NULL").groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     )
-    keyed = nodes.select("fp", "sig").mapInArrow(partial(_bands, bands=bands, rows=rows), "key bigint, fp bigint")
-    shared = materialized(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_numbered, size=block), "key bigint, fp bigint, block int"))
+    keyed = nodes.select("fp", "sig").mapInArrow(lean(partial(_bands, bands=bands, rows=rows)), "key bigint, fp bigint")
+    shared = materialized(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(partial(_numbered, size=block)), "key bigint, fp bigint, block int"))
     held = _groups(shared).join(nodes.select("fp", "n", "sig"), "fp")
-    found = materialized(held.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_pairs, bands=bands, rows=rows, threshold=threshold), "key bigint, fp bigint, partners array<bigint>"))
+    found = materialized(held.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(partial(_pairs, bands=bands, rows=rows, threshold=threshold)), "key bigint, fp bigint, partners array<bigint>"))
     uses = materialized(found.groupBy("fp").agg(F.collect_list("key").alias("uses")).join(nodes.select("fp", "row", "copies"), "fp"))
     texts = semi(docs.select("row", "text"), uses.select("row"), "row").dropDuplicates(["row"]).join(uses.hint("shuffle_hash"), "row").select("text", "fp", "copies", "uses")
-    sets = texts.mapInArrow(partial(_with_sets, n=n), "key bigint, fp bigint, copies bigint, partners array<bigint>, grams binary")
+    sets = texts.mapInArrow(lean(partial(_with_sets, n=n)), "key bigint, fp bigint, copies bigint, partners array<bigint>, grams binary")
     wanted = found.where(F.size("partners") > 0).select("key", "fp", F.lit(None).cast("bigint").alias("copies"), "partners", F.lit(None).cast("binary").alias("grams"))
     both = sets.unionByName(wanted).repartition("key").sortWithinPartitions("key", "fp")
-    verified = both.mapInArrow(partial(_verify, threshold=threshold, every=every), "a bigint, b bigint, jaccard double, links bigint")
+    verified = both.mapInArrow(lean(partial(_verify, threshold=threshold, every=every)), "a bigint, b bigint, jaccard double, links bigint")
     return signed.select("doc_id", "row", "fp"), nodes.select("fp", "copies", "first_id"), verified
 
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textbuf as tb
-from .common import plain, table
+from .common import lean, plain, table
 from .secretscan import folded
 
 NOTICES = {
@@ -220,7 +220,7 @@ def find_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows. Other columns are ignored.
     """
     docs = plain(docs, id_col, text_col)
-    return docs.mapInArrow(partial(_scan, own=notices(texts, per_error)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, start int, end int, errors int")
+    return docs.mapInArrow(lean(partial(_scan, own=notices(texts, per_error))), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, start int, end int, errors int")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

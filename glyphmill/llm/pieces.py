@@ -36,12 +36,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textbuf as tb
-from .common import plain, table
+from .common import lean, plain, table
 
 MODEL, NBEST = "/opt/tokenizers/piece_bpe_32k.model", 4
 SPACE = "▁"
 #: Chunks that a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Characters above which a chunk is handled on its own.
 LONG = 64
 _CHUNK = re.compile(r" +[^ \n]*|\n[^ \n]*")
@@ -449,6 +449,8 @@ class Encoder:
                 o.append({"edits": edits})
 
 
+#: Lattices of short chunks that a worker remembers (some kilobytes each).
+_LATTICES = 8_000
 _lattices: dict[str, Lattice] = {}
 
 
@@ -458,7 +460,7 @@ def lattice_of(model: Model, chunk: str) -> Lattice:
         return Lattice(model, chunk)
     got = _lattices.get(chunk)
     if got is None or got.model is not model:
-        if len(_lattices) > 50_000:
+        if len(_lattices) >= _LATTICES:
             _lattices.clear()
         got = _lattices[chunk] = Lattice(model, chunk)
     return got
@@ -488,7 +490,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator[pa
     model = cached(path)
     encoder, decoder = Encoder(model, n), Decoder(model)
     for batch in batches:
-        for part in tb.slices(batch, most=1 << 22):
+        for part in tb.slices(batch):
             column = part.column("text")
             texts = column.to_pylist()
             ids, bounds, scores, others = encoder(texts)
@@ -534,7 +536,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     docs = plain(docs, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_pieces int, ids array<int>, scores array<double>, alternatives array<struct<edits:array<struct<start:int,end:int,ids:array<int>>>>>, round_trip boolean"
-    return docs.mapInArrow(partial(_encode, path=path, n=n), schema)
+    return docs.mapInArrow(lean(partial(_encode, path=path, n=n)), schema)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -554,7 +556,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
     """``doc_id`` and ``text`` of piece numbers. Null gives null, no pieces give empty text; bytes that aren't UTF-8
     become U+FFFD."""
     rows = encoded.select(encoded[id_col].alias("doc_id"), encoded[ids_col].alias("ids"))
-    return rows.mapInArrow(partial(_decode, path=path), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(lean(partial(_decode, path=path)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

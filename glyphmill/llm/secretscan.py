@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textbuf as tb
-from .common import plain, table
+from .common import lean, plain, table
 
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -212,7 +212,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     columns are ignored.
     """
     docs = plain(docs, id_col, text_col)
-    return docs.mapInArrow(_scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, kind string, start int, end int, checksum string")
+    return docs.mapInArrow(lean(_scan), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, kind string, start int, end int, checksum string")
 
 
 def mask(text: str, hits: list[tuple[int, int, str, str]]) -> str:
@@ -244,7 +244,7 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = None)
     a column that holds the number of characters; it follows the text. Null and empty texts stay as they are; repeated
     rows change alike; very long texts are searched whole. An empty table stays empty."""
     size_at = docs.columns.index(size_col) if size_col else -1
-    return docs.mapInArrow(partial(_redact, at=docs.columns.index(text_col), size_at=size_at), docs.schema)
+    return docs.mapInArrow(lean(partial(_redact, at=docs.columns.index(text_col), size_at=size_at)), docs.schema)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

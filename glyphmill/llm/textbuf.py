@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Bytes handled at once; bounds the numpy temporaries whatever the batch or text size.
 BLOCK = 1 << 20
 #: Bytes of text in one slice of a batch.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import materialized, plain, row_hash, semi, table, unused
+from .common import lean, materialized, plain, row_hash, semi, table, unused
 
 MIN_MATCH, COVERAGE = 5, 0.6
 #: Characters of benchmark text up to which its seeds are broadcast (about 16 bytes a seed).
@@ -270,8 +270,8 @@ def _filter_union(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def seed_filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """One bit for every value of the first ``bits`` bits of a seed, packed: set if a benchmark seed has it."""
-    pages = seeds.select("seed").mapInArrow(partial(_filter_pages, bits=bits), "page bigint, flags binary")
-    whole = pages.repartition("page").sortWithinPartitions("page").mapInArrow(_filter_union, "page bigint, flags binary")
+    pages = seeds.select("seed").mapInArrow(lean(partial(_filter_pages, bits=bits)), "page bigint, flags binary")
+    whole = pages.repartition("page").sortWithinPartitions("page").mapInArrow(lean(_filter_union), "page bigint, flags binary")
     out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
     each = (1 << _PAGE) // 8
     for r in whole.toLocalIterator():
@@ -313,7 +313,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
 
 def _tile(batches: Iterator[pa.RecordBatch], min_match: int, coverage: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in tb.slices(batch, most=1 << 22):
+        for part in tb.slices(batch):
             texts, items = tb.tokenize(part.column("text")), tb.tokenize(part.column("item_text"))
             tb_, ib, rows = texts.bounds, items.bounds, []
             for k in range(part.num_rows):
@@ -354,18 +354,18 @@ def contaminated(
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, coverage double, tiles int, longest int"
     if index := _small(items, min_match, broadcast_chars):
-        return docs.mapInArrow(partial(_scan, shared=index, min_match=min_match, coverage=coverage), schema)
+        return docs.mapInArrow(lean(partial(_scan, shared=index, min_match=min_match, coverage=coverage)), schema)
     items = items.withColumn("item", F.xxhash64("item_id", "item_text"))
-    seeds = items.select("item", F.col("item_text").alias("text")).mapInArrow(partial(_item_seeds, k=min_match), "seed bigint, item bigint, size int, place int")
+    seeds = items.select("item", F.col("item_text").alias("text")).mapInArrow(lean(partial(_item_seeds, k=min_match)), "seed bigint, item bigint, size int, place int")
     known = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds, filter_bits))
     # sorted and shuffled, so that adaptive execution splits a seed that many documents have
-    shared = docs.mapInArrow(partial(_doc_seeds, k=min_match, shared=known, bits=filter_bits), f"seed bigint, doc_id {kind}").join(seeds.hint("merge"), "seed")
+    shared = docs.mapInArrow(lean(partial(_doc_seeds, k=min_match, shared=known, bits=filter_bits)), f"seed bigint, doc_id {kind}").join(seeds.hint("merge"), "seed")
     places = shared.groupBy("doc_id", "item").agg(F.first("size").alias("size"), F.array_sort(F.collect_set("place")).alias("p"))
     steps = F.zip_with(F.expr("slice(p, 2, size(p))"), F.expr("slice(p, 1, size(p) - 1)"), lambda a, b: F.least(a - b, F.lit(min_match)))
     bound = F.aggregate(steps, F.lit(min_match), lambda s, x: s + F.coalesce(x, F.lit(0)))
     pairs = places.where(bound >= F.greatest(F.lit(1.0), F.lit(coverage) * F.col("size"))).select("doc_id", "item")
     both = docs.join(pairs, "doc_id").join(items, "item").select("doc_id", "text", "item_id", "item_text")
-    return both.mapInArrow(partial(_tile, min_match=min_match, coverage=coverage), schema)
+    return both.mapInArrow(lean(partial(_tile, min_match=min_match, coverage=coverage)), schema)
 
 
 def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
@@ -399,7 +399,7 @@ def decontaminate(
     whole. An empty table on either side removes nothing.
     """
     if index := _small(_items(benchmark, item_col, item_text_col), min_match, broadcast_chars):
-        return docs.mapInArrow(partial(_clean, at=docs.columns.index(text_col), shared=index, min_match=min_match, coverage=coverage), docs.schema)
+        return docs.mapInArrow(lean(partial(_clean, at=docs.columns.index(text_col), shared=index, min_match=min_match, coverage=coverage)), docs.schema)
     name = unused(docs, "row")
     marked = docs.withColumn(name, row_hash(docs))
     bad = contaminated(marked, benchmark, name, text_col, item_col, item_text_col, min_match, coverage, broadcast_chars, filter_bits)
