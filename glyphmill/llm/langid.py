@@ -20,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import bounded_sample, plain, table
+from .common import bounded_sample, lean, plain, table
 
 BUCKETS, DIM, SIZES = 1 << 16, 16, (2, 3, 4)
 #: Labelled rows that the model is trained and calibrated on at most.
@@ -165,7 +164,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     columns = [np.ascontiguousarray(model.table[:, k], np.float32) for k in range(len(model.languages))]
     names = np.array([*model.languages, REJECTED], object)
     for batch in batches:
-        for part in tb.slices(batch, most=1 << 21):
+        for part in tb.slices(batch):
             ids, bounds = features(part.column("text"), model.buckets, model.sizes)
             n = np.diff(bounds)
             some = np.flatnonzero(n)
@@ -187,8 +186,8 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS, **kw) -> LangModel:
     """Train on at most ``rows`` labelled rows with a text, chosen by a hash of the identifier."""
-    labelled = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[label_col].alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL AND text IS NOT NULL")
-    got = bounded_sample(labelled, rows)
+    labelled = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[label_col].alias("label"))
+    got = bounded_sample(labelled, rows, lambda df, _: df.where("doc_id IS NOT NULL AND label IS NOT NULL AND text IS NOT NULL"))
     return train([r.text for r in got], [r.label for r in got], **kw)
 
 
@@ -196,12 +195,13 @@ def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col
     """``doc_id``, ``language`` (``und`` if rejected), ``confidence`` (calibrated probability, 6 decimals) and
     ``accepted``, one row for each row that goes in.
 
-    Whole texts are scored. Null texts, empty ones and those without a letter are rejected with confidence 0. Ties go
-    to the language that is first in the alphabet. Equal rows get equal results. Other columns are ignored.
+    Whole texts are scored, very long ones too. Null texts, empty ones and those without a letter are rejected with confidence 0. Ties go
+    to the language that is first in the alphabet. Equal rows get equal results. An empty table gives no rows. Other
+    columns are ignored.
     """
     docs = plain(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(partial(_score, shared=shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, language string, confidence double, accepted boolean")
+    return docs.mapInArrow(lean(partial(_score, shared=shared)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, language string, confidence double, accepted boolean")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import bounded_sample, plain, table
+from .common import BROADCAST_ROWS, bounded_sample, lean, plain, table
 
 BUCKETS = 1 << 18
 #: Labelled rows that the model is trained on at most.
@@ -114,7 +114,7 @@ def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, epochs: i
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: QualityModel = shared.value
     for batch in batches:
-        for part in tb.slices(batch, most=1 << 21):
+        for part in tb.slices(batch):
             ids, bounds = features(part.column("text"), len(model.weights))
             n = np.diff(bounds)
             some = np.flatnonzero(n)
@@ -129,12 +129,13 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 
 
 def fit_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", rows: int = TRAIN_ROWS, **kw) -> QualityModel:
-    """Train on at most ``rows`` labelled documents with a text, chosen by a hash of the identifier. A document whose
-    labels contradict each other is left out."""
+    """Train on up to ``rows`` labelled documents with a text, those with the smallest hashes of the identifier.
+    Labels are cut by hash before the join with the documents and more of them taken until there are enough documents,
+    so labels without a document take no places. A document whose labels contradict each other is left out."""
     own = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     own = own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("doc_id", "label")
-    picked = own.select("doc_id", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows).select("doc_id", "label")
-    got = bounded_sample(plain(docs, id_col, text_col).where("text IS NOT NULL").join(F.broadcast(picked), "doc_id"), rows)
+    texts = plain(docs, id_col, text_col).where("text IS NOT NULL")
+    got = bounded_sample(own, rows, lambda df, expected: texts.join(F.broadcast(df) if expected <= BROADCAST_ROWS else df, "doc_id"))
     return train([r.text for r in got], [int(r.label) for r in got], **kw)
 
 
@@ -142,12 +143,12 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
     """``doc_id``, ``score`` (probability of good quality, 6 decimals) and ``quality`` (1 from the cutoff on, else 0),
     one row for each row that goes in.
 
-    Whole texts are scored. Null and empty texts and those without a token score 0. Equal rows get equal results. An
+    Whole texts are scored, very long ones too. Null and empty texts and those without a token score 0. Equal rows get equal results. An
     empty table gives no rows. Other columns are ignored.
     """
     docs = plain(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(partial(_score, shared=shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, quality int")
+    return docs.mapInArrow(lean(partial(_score, shared=shared)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, quality int")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,7 @@ rules then run by falling rejection per cost, so that most bad texts are settled
 much, and a rule runs only on what all rules before it passed. The order changes the time, never the result.
 
 Rules run in Arrow batches on the bytes of many texts at once (``RULES``): counts over character classes, word and
-sentence spans, without an object for each word. The same rules as columns (``default_rules``, ``cascade``) are for
-use inside a plan, and tests hold the two to each other.
+sentence spans, without an object for each word.
 """
 
 from __future__ import annotations
@@ -14,54 +13,26 @@ from __future__ import annotations
 import time
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import cached_property, partial, reduce
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from . import textbuf as tb
-from .common import bounded_sample, plain, table
+from .common import bounded_sample, lean, plain, table
 
 #: Rows on which costs and selectivities are estimated at most.
 SAMPLE_ROWS = 1000
 MAX_WORD, MIN_WORD, SYMBOLS, PIPES, UPPER, REPEATS, SENTENCES = 20.0, 1.5, 0.1, 0.1, 0.45, 0.2, 0.3
-_SPACE, _SYMBOL = "[ \\t\\n\\r\\f]+", "#$%&*|!~^_=<>{}\\"
-
-
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, _SPACE), lambda w: w != "")
-
-
-def _share(part: Column, whole: Column) -> Column:
-    return part / F.greatest(whole, F.lit(1))
-
-
-def default_rules(text: Column) -> dict[str, Column]:
-    """Rejections by name. Every rule is false for a text it doesn't apply to; null counts as empty."""
-    length, w = F.length(text), words(text)
-    n = F.size(w)
-    letters = length - F.length(F.regexp_replace(text, "\\p{L}", ""))
-    upper = length - F.length(F.regexp_replace(text, "\\p{Lu}", ""))
-    sentences = F.filter(F.split(text, "[.!?\\n]+[ \\t]*"), lambda s: s != "")
-    same = F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(n, F.lit(1))), lambda a, b: a == b), lambda x: x))
-    return {
-        "no_words": n < 1,
-        "word_length": (F.length(F.regexp_replace(text, _SPACE, "")) / F.greatest(n, F.lit(1)) > MAX_WORD) | ((n > 3) & (F.length(F.regexp_replace(text, _SPACE, "")) / F.greatest(n, F.lit(1)) < MIN_WORD)),
-        "symbols": _share(length - F.length(F.translate(text, _SYMBOL, "")), length) > SYMBOLS,
-        "tables": _share(length - F.length(F.translate(text, "|", "")), n) > PIPES,
-        "upper_case": (letters >= 20) & (_share(upper, letters) > UPPER),
-        "repeated_words": (n >= 10) & (_share(same, n) > REPEATS),
-        "repeated_sentences": (F.size(sentences) >= 5) & (1 - F.size(F.array_distinct(sentences)) / F.greatest(F.size(sentences), F.lit(1)) > SENTENCES),
-    }
+_SYMBOL = "#$%&*|!~^_=<>{}\\"
 
 
 def _sql_text() -> str:
     w = "list_filter(string_split_regex(t, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')"
     s = "list_filter(string_split_regex(t, '[.!?\\n]+[ \\t]*'), lambda x: x <> '')"
     return f"""
-WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
+WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, t, length(t) AS c, {w} AS w, {s} AS s,
   length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g')) AS letters, length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')) AS upper,
   length(regexp_replace(t, '[ \\t\\n\\r\\f]+', '', 'g')) AS solid,
@@ -77,36 +48,11 @@ WHERE len(w) >= 1
 """
 
 
-def estimate(sample: DataFrame, text_col: str, rules: dict[str, Column], runs: int = 2) -> dict[str, tuple[float, float]]:
-    """Seconds that each rule takes on the sample and its share of rejections there. ``sample`` should be small and
-    kept in memory; the time of a query without a rule is taken off."""
-
-    def timed(column: Column) -> tuple[float, float]:
-        best, value = float("inf"), 0.0
-        for _ in range(runs):
-            began = time.perf_counter()
-            value = sample.agg(column.alias("x")).first()[0] or 0.0
-            best = min(best, time.perf_counter() - began)
-        return best, float(value)
-
-    base = timed(F.avg(F.when(F.length(text_col) < 0, 1.0).otherwise(0.0)))[0]
-    out = {}
-    for name, rule in rules.items():
-        seconds, share = timed(F.avg(F.when(rule, 1.0).otherwise(0.0)))
-        out[name] = (max(seconds - base, 1e-4), share)
-    return out
-
-
 def order_rules(estimates: dict[str, tuple[float, float]]) -> list[str]:
     """Names by falling rejection per cost; of equal ones the cheaper, then the first by name."""
     return sorted(estimates, key=lambda n: (-estimates[n][1] / estimates[n][0], estimates[n][0], n))
 
 
-def cascade(rules: dict[str, Column], order: list[str]) -> Column:
-    """Name of the first rule in this order that rejects, or null. CASE branches are evaluated one after another."""
-    return reduce(lambda c, n: c.when(rules[n], F.lit(n)), order[1:], F.when(rules[order[0]], F.lit(order[0])))
-
-
 def _class(chars: str) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(chars.encode())] = True
@@ -249,7 +195,7 @@ def _repeated_sentences(t: Texts) -> np.ndarray:
     return (n >= 5) & (1 - t.share(distinct, n) > SENTENCES)
 
 
-#: The rules of ``default_rules`` on batches.
+#: Rejections by name. Every rule is false for a text it doesn't apply to; null counts as empty.
 RULES: dict[str, Callable[[Texts], np.ndarray]] = {
     "no_words": lambda t: t.n_words < 1,
     "word_length": _word_length,
@@ -289,7 +235,7 @@ def estimate_batches(texts: list[str | None], runs: int = 2) -> dict[str, tuple[
 
 
 def _ordered(docs: DataFrame, id_col: str, text_col: str, rows: int) -> list[str]:
-    got = bounded_sample(plain(docs, id_col, text_col).where("doc_id IS NOT NULL"), rows)
+    got = bounded_sample(plain(docs, id_col, text_col), rows)
     return order_rules(estimate_batches([r.text for r in got])) if got else sorted(RULES)
 
 
@@ -311,15 +257,15 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     A null or empty text and one of white space only has no words and is rejected. Texts of a few words are kept:
     rules on shares ask for a least number of words, letters or sentences. Rows without identifier are judged like
-    others, and repeated rows alike. An empty table gives no rows.
+    others, and repeated rows alike. Very long texts are judged whole. An empty table gives no rows.
     """
-    return docs.mapInArrow(partial(_keep, text=text_col, order=_ordered(docs, id_col, text_col, sample_rows)), docs.schema)
+    return docs.mapInArrow(lean(partial(_keep, text=text_col, order=_ordered(docs, id_col, text_col, sample_rows))), docs.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that pass all rules, with their number of words."""
+    """Documents that pass all rules, those without identifier too, with their number of words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(partial(_count, order=_ordered(docs, "doc_id", "text", SAMPLE_ROWS)), "doc_id bigint, n_words int")
+    return docs.mapInArrow(lean(partial(_count, order=_ordered(docs, "doc_id", "text", SAMPLE_ROWS))), "doc_id bigint, n_words int")
 
 
 QUERIES = {"op8_quality_rules": op8_quality_rules}

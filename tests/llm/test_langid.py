@@ -1,3 +1,6 @@
+from collections import Counter
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +67,71 @@ def test_degenerate_training(spark):
     one = spark.createDataFrame([(1, "abc", "en")], "doc_id long, text string, lang string")
     assert langid.identify(one, langid.fit_language_model(empty)).first().language == "und"
     assert langid.identify(one, langid.fit_language_model(one)).first().language == "en"
+
+
+def _features(text):
+    return langid.features(pa.array([text]))[0].tolist()
+
+
+def test_query_against_plain_training(spark):
+    """The whole query: sample, minibatch SGD text by text, temperature, cutoff and the language of every document."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sample = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(langid.TRAIN_ROWS).collect()
+    names = sorted({r.lang for r in sample})
+    k, dim = len(names), langid.DIM
+    counted = lambda text: tuple(map(np.array, zip(*sorted(Counter(_features(text)).items())))) or (np.zeros(0, int), np.zeros(0))
+    rows, y = [counted(r.text) for r in sample], [names.index(r.lang) for r in sample]
+    held = [i % 5 == 4 for i in range(len(rows))]
+    rng = np.random.default_rng(7)
+    fit = np.array([i for i in range(len(rows)) if not held[i] and len(rows[i][0])])
+    emb = rng.uniform(-1 / dim, 1 / dim, (langid.BUCKETS, dim)).astype(np.float32).astype(np.float64)
+    out, bias = np.zeros((dim, k)), np.zeros(k)
+    each = -(-len(fit) // langid.BATCH)
+    epochs = max(langid.EPOCHS, -(-langid.STEPS // each))
+    step = 0
+
+    def probabilities(z):
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    def vector(row):
+        return row[1] / row[1].sum() @ emb[row[0]]
+
+    for _ in range(epochs):
+        order = rng.permutation(fit)
+        for lo in range(0, len(order), langid.BATCH):
+            own = order[lo : lo + langid.BATCH]
+            lr = langid.RATE * (1 - step / (epochs * each))
+            step += 1
+            errors = []
+            for i in own:
+                v = vector(rows[i])
+                errors.append((i, v, probabilities(v @ out + bias) - np.eye(k)[y[i]]))
+            pulls = [(i, out @ d) for i, _, d in errors]
+            for _, v, d in errors:
+                out -= lr * np.outer(v, d) / len(own)
+                bias -= lr * d / len(own)
+            for i, g in pulls:
+                emb[rows[i][0]] -= lr * 16 * np.outer(rows[i][1] / rows[i][1].sum(), g)
+    logits = lambda row: vector(row) @ out + bias if len(row[0]) else bias
+    rest = [(logits(rows[i]), y[i]) for i in range(len(rows)) if held[i]]
+    miss = 1 / (len(rest) + 2)
+
+    def loss(t):
+        total = 0.0
+        for z, label in rest:
+            target = np.full(k, miss / (k - 1))
+            target[label] = 1 - miss
+            total -= (target * np.log(probabilities(z / t) + 1e-300)).sum()
+        return total / len(rest)
+
+    temperature = min(np.geomspace(0.02, 20, 80), key=loss)
+    got = {r.doc_id: r for r in langid.op1_language_id(spark, sf).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        p = probabilities(logits(counted(r.text)) / temperature)
+        assert abs(got[r.doc_id].confidence - p.max()) < 2e-3
+        assert got[r.doc_id].language in (names[int(p.argmax())], langid.REJECTED)
+        assert got[r.doc_id].accepted == (got[r.doc_id].language != langid.REJECTED)
+    assert sum(r.accepted for r in got.values()) > 0.95 * len(got)

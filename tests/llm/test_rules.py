@@ -1,30 +1,69 @@
+from functools import reduce
+
 import duckdb
 from pyspark.sql import functions as F
 
 from glyphmill.llm import rules
 
 SF = "/root/testdata/sf0.001"
+SPACE = "[ \\t\\n\\r\\f]+"
+
+
+def words(text):
+    return F.filter(F.split(text, SPACE), lambda w: w != "")
+
+
+def _share(part, whole):
+    return part / F.greatest(whole, F.lit(1))
+
+
+def column_rules(text):
+    """The rules as columns of the engine, written apart from the batch form."""
+    length, w = F.length(text), words(text)
+    n = F.size(w)
+    letters = length - F.length(F.regexp_replace(text, "\\p{L}", ""))
+    upper = length - F.length(F.regexp_replace(text, "\\p{Lu}", ""))
+    sentences = F.filter(F.split(text, "[.!?\\n]+[ \\t]*"), lambda s: s != "")
+    same = F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(n, F.lit(1))), lambda a, b: a == b), lambda x: x))
+    return {
+        "no_words": n < 1,
+        "word_length": (F.length(F.regexp_replace(text, SPACE, "")) / F.greatest(n, F.lit(1)) > rules.MAX_WORD) | ((n > 3) & (F.length(F.regexp_replace(text, SPACE, "")) / F.greatest(n, F.lit(1)) < rules.MIN_WORD)),
+        "symbols": _share(length - F.length(F.translate(text, rules._SYMBOL, "")), length) > rules.SYMBOLS,
+        "tables": _share(length - F.length(F.translate(text, "|", "")), n) > rules.PIPES,
+        "upper_case": (letters >= 20) & (_share(upper, letters) > rules.UPPER),
+        "repeated_words": (n >= 10) & (_share(same, n) > rules.REPEATS),
+        "repeated_sentences": (F.size(sentences) >= 5) & (1 - F.size(F.array_distinct(sentences)) / F.greatest(F.size(sentences), F.lit(1)) > rules.SENTENCES),
+    }
 
 
 def test_order():
     assert rules.order_rules({"a": (1.0, 0.1), "b": (0.1, 0.1), "c": (0.01, 0.0), "d": (1.0, 0.1)}) == ["b", "a", "d", "c"]
 
 
-def test_order_does_not_change_the_result(spark):
+def test_whole_table_against_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    own = rules.default_rules(F.col("text"))
-    kept = [sorted(r.doc_id for r in docs.where(rules.cascade(own, o).isNull()).collect()) for o in (sorted(own), sorted(own)[::-1])]
-    assert kept[0] == kept[1] == sorted(r.doc_id for r in rules.keep_good(docs).collect())
-    assert 0 < len(kept[0]) < docs.count()
+    bad = reduce(lambda a, b: a | b, column_rules(F.col("text")).values())
+    want = sorted(r.doc_id for r in docs.where(~bad).collect())
+    assert want == sorted(r.doc_id for r in rules.keep_good(docs).collect())
+    assert 0 < len(want) < docs.count()
 
 
 def test_estimates(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").persist()
-    got = rules.estimate(docs, "text", rules.default_rules(F.col("text")))
-    for name, rule in rules.default_rules(F.col("text")).items():
+    got = rules.estimate_batches([r.text for r in docs.collect()])
+    for name, rule in column_rules(F.col("text")).items():
         assert got[name][0] > 0 and abs(got[name][1] - docs.where(rule).count() / docs.count()) < 1e-9
 
 
+def test_query_and_sql_agree_on_nulls(spark, tmp_path):
+    rows = [(1, "some plain words"), (None, "other plain words"), (2, None), (None, None), (1, "some plain words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((tuple(r) for r in rules.op8_quality_rules(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(con.sql(rules.ORACLES["op8_quality_rules"]).fetchall(), key=str) == [(1, 3), (1, 3), (None, 3)]
+
+
 def test_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
@@ -57,7 +96,7 @@ def test_batches_and_columns_agree(spark):
     bits = ["a", "Ab", "ÄÖ", "straße", "Ω", "漢字", "𐐀", "|", "#", " ", "  ", "\t", "\n", "\f", "\r", ". ", "!? ", ".\t \n", "word word", "THE END", "é", " ", "."]
     texts = [None, ""] + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 60))) for _ in range(600)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    for name, rule in rules.default_rules(F.coalesce("text", F.lit(""))).items():
+    for name, rule in column_rules(F.coalesce("text", F.lit(""))).items():
         want = [r[0] for r in df.orderBy("doc_id").select(rule).collect()]
         got = rules.RULES[name](rules.Texts.of(pa.array(texts, pa.string())))
         assert got.tolist() == want, name
