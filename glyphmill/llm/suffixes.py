@@ -7,6 +7,10 @@ Windows are sharded without losing one: each has a minimizer, the smallest hashe
 equal minimizers, and consecutive windows with one minimizer form a segment. Minimizers that occur once are
 dropped by a count, so only segments that may repeat are shuffled. Each shard's segments are then sorted as
 suffixes by bucket-pointer refinement and neighbours in that order that share ``length`` tokens are repeated.
+
+A minimizer of a passage that a third of all texts have would put its segments into one shard. The windows of
+minimizers with more than ``HOT`` segments are counted by their 64-bit hashes instead, which adds up before the
+shuffle, so no shard grows with the data.
 """
 
 from __future__ import annotations
@@ -20,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import materialized, plain, rebatched, semi, table
+from .common import lean, lookup, materialized, plain, semi, table
 from .jaccard import _by_key
 
 LENGTH, Q = 50, 8
+#: Segments of one minimizer up to which they are sorted in one shard (about 370 bytes each).
+HOT = 1 << 15
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -63,20 +69,25 @@ def _minimizers(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Itera
                 yield pa.RecordBatch.from_arrays([tb.signed(key), part.column("doc_id").take(pa.array(tokens.doc[first]))], names=["key", "doc_id"])
 
 
+def _kept(part: pa.RecordBatch, tokens: tb.Tokens, length: int, q: int, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first window, last window and text of the segments whose key is among the text's in ``column``."""
+    key, first, last = segments(tokens, length, q)
+    key = key.view(np.int64)
+    doc = tokens.doc[first]
+    bounds = np.searchsorted(doc, np.arange(tokens.texts + 1))
+    keep = np.zeros(len(key), bool)
+    keys = part.column(column)
+    for i in np.unique(doc).tolist():
+        own = slice(bounds[i], bounds[i + 1])
+        keep[own] = np.isin(key[own], keys[i].values.to_numpy())
+    return key[keep], first[keep], last[keep], doc[keep]
+
+
 def _segments(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in tb.slices(batch, most=1 << 22):
+        for part in tb.slices(batch):
             tokens = tb.tokenize(part.column("text"))
-            key, first, last = segments(tokens, length, q)
-            key = key.view(np.int64)
-            doc = tokens.doc[first]
-            bounds = np.searchsorted(doc, np.arange(tokens.texts + 1))
-            keep = np.zeros(len(key), bool)
-            hot = part.column("hot")
-            for i in np.unique(doc).tolist():
-                own = slice(bounds[i], bounds[i + 1])
-                keep[own] = np.isin(key[own], hot[i].values.to_numpy())
-            key, first, last, doc = key[keep], first[keep], last[keep], doc[keep]
+            key, first, last, doc = _kept(part, tokens, length, q, "some")
             if not len(key):
                 continue
             small = (tokens.hash >> np.uint64(32)).astype(np.uint32)
@@ -93,6 +104,28 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterato
                 )
 
 
+def _windows(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterator[pa.RecordBatch]:
+    """Hash and place of every window of the hot minimizers."""
+    for batch in batches:
+        for part in tb.slices(batch):
+            tokens = tb.tokenize(part.column("text"))
+            key, first, last, doc = _kept(part, tokens, length, q, "many")
+            if not len(key):
+                continue
+            sizes = last - first + 1
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], sizes)
+            of = np.repeat(doc, sizes)
+            with np.errstate(over="ignore"):
+                h = tokens.hash[at]
+                for k in range(1, length):
+                    h = h * tb._GRAM + tokens.hash[at + k]
+            for lo in range(0, len(at), 1 << 16):
+                own = slice(lo, lo + (1 << 16))
+                start = (at[own] - tokens.bounds[:-1][of[own]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([tb.signed(tb.mix(h[own])), part.column("doc_id").take(pa.array(of[own])), pa.array(start)], names=["window", "doc_id", "lo"])
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of ``text`` (non-negative integers) sorted by at least the first ``depth`` values from each place on.
 
@@ -209,24 +242,31 @@ def _mark(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         )
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
     """Spans of tokens that are covered by repeated windows of ``length`` tokens: ``doc_id``, ``start_token``,
     ``end_token`` (exclusive), overlapping and touching windows merged.
 
     Tokens are those of ``textbuf``. Null and empty texts and texts of fewer than ``length`` tokens have no spans.
     Rows without identifier are left out. Rows that repeat an identifier count as separate texts, and their spans
-    are merged under it. An empty table gives no rows. Other columns are ignored.
+    are merged under it. Very long texts are searched whole, and a passage may repeat within one. An empty table gives
+    no rows. Other columns are ignored.
     """
     if not 1 <= q <= length:
         raise ValueError("q must be between 1 and length")
     docs = plain(docs, id_col, text_col).where("doc_id IS NOT NULL")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(rebatched(partial(_minimizers, length=length, q=q)), f"key bigint, doc_id {kind}")
-    often = found.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("times > 1")
-    hot = materialized(often.groupBy("doc_id").agg(F.collect_set("key").alias("hot")))
-    texts = semi(docs, hot.select("doc_id"), "doc_id").join(hot.hint("shuffle_hash"), "doc_id")
-    parts = texts.mapInArrow(rebatched(partial(_segments, length=length, q=q)), f"key bigint, doc_id {kind}, start int, tokens binary")
-    marked = parts.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_mark, length=length), f"doc_id {kind}, lo int, hi int")
+    found = materialized(docs.mapInArrow(lean(partial(_minimizers, length=length, q=q)), f"key bigint, doc_id {kind}"))
+    often = materialized(found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    mine = lookup(found, often, "key").where("times IS NOT NULL")
+    is_hot = F.col("times") > hot
+    keys = materialized(mine.groupBy("doc_id").agg(F.collect_set(F.when(~is_hot, F.col("key"))).alias("some"), F.collect_set(F.when(is_hot, F.col("key"))).alias("many")))
+    texts = semi(docs, keys.select("doc_id"), "doc_id").join(keys.hint("shuffle_hash"), "doc_id")
+    parts = texts.select("doc_id", "text", "some").where(F.size("some") > 0).mapInArrow(lean(partial(_segments, length=length, q=q)), f"key bigint, doc_id {kind}, start int, tokens binary")
+    marked = parts.repartition("key").sortWithinPartitions("key").mapInArrow(lean(partial(_mark, length=length)), f"doc_id {kind}, lo int, hi int")
+    if not often.where(is_hot).isEmpty():
+        windows = materialized(texts.select("doc_id", "text", "many").where(F.size("many") > 0).mapInArrow(lean(partial(_windows, length=length, q=q)), f"window bigint, doc_id {kind}, lo int"))
+        again = materialized(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        marked = marked.unionByName(lookup(windows, again, "window").where("n IS NOT NULL").select("doc_id", "lo", (F.col("lo") + length).alias("hi")))
     by = Window.partitionBy("doc_id").orderBy("lo", "hi")
     before = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = marked.withColumn("new", F.when(F.col("lo") <= before, 0).otherwise(1)).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))

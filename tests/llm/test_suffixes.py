@@ -42,8 +42,8 @@ def test_suffix_order(seed):
     assert sorted(order) == list(range(700)) and keys == sorted(keys)
 
 
-@pytest.mark.parametrize("length,q", [(6, 2), (9, 4), (50, 8)])
-def test_against_brute_force(spark, length, q):
+@pytest.mark.parametrize("length,q,hot", [(6, 2, suffixes.HOT), (9, 4, 3), (9, 4, 0), (50, 8, suffixes.HOT)])
+def test_against_brute_force(spark, length, q, hot):
     rng = random.Random(length)
     passages = [[f"p{k}x{rng.randrange(9)}" for _ in range(length + rng.randrange(20))] for k in range(5)]
     rows = []
@@ -56,7 +56,7 @@ def test_against_brute_force(spark, length, q):
                 w += p[rng.randrange(3) :]
         rows.append((d, " ".join(w)))
     rows.append((60, "go " * 200))
-    got = {tuple(r) for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), length=length, q=q).collect()}
+    got = {tuple(r) for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), length=length, q=q, hot=hot).collect()}
     assert got == brute(rows, length) and got
 
 
@@ -74,3 +74,16 @@ def test_string_identifiers(spark):
     words = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([("a", words), ("b", "x " + words)], "doc_id string, text string")
     assert sorted(map(tuple, suffixes.repeated_passages(df).collect())) == [("a", 0, 60), ("b", 1, 61)]
+
+
+def test_a_passage_that_half_of_the_texts_have(spark):
+    """Its minimizers have hundreds of segments, each with other words around it."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(70)]
+    own = lambda: [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 60))]
+    rows = [(d, " ".join([*own(), *(passage if d % 2 else []), *own()])) for d in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 50)
+    for hot in (20, suffixes.HOT):
+        assert {tuple(r) for r in suffixes.repeated_passages(df, hot=hot).collect()} == want
+    assert len(want) == 200
