@@ -41,7 +41,7 @@ from .common import lean, plain, table
 MODEL, NBEST = "/opt/tokenizers/piece_bpe_32k.model", 4
 SPACE = "▁"
 #: Chunks that a worker remembers before it starts anew.
-MEMORY = 200_000
+MEMORY = 300_000
 #: Characters above which a chunk is handled on its own.
 LONG = 64
 _CHUNK = re.compile(r" +[^ \n]*|\n[^ \n]*")
@@ -370,16 +370,21 @@ class Encoder:
                     path, score[k], gap[k] = long_path(self.model, whole[k])
                     own[k] = np.array(path, np.int64)
                 ids, bounds = np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
-            if (ids < 0).any():
-                out, sizes = [], []
-                for k, chunk in enumerate(whole):
-                    own, at = [], 0
+            if (ids < 0).any():  # characters that no piece has become their bytes
+                unknown = np.flatnonzero(ids < 0)
+                raw: list[list[int]] = []
+                for k in np.unique(np.searchsorted(bounds, unknown, side="right") - 1).tolist():
+                    at = 0
                     for i in ids[bounds[k] : bounds[k + 1]].tolist():
-                        own += [i] if i >= 0 else [self.model.byte_id[b] for b in chunk[at].encode()]
+                        if i < 0:
+                            raw.append([self.model.byte_id[b] for b in whole[k][at].encode()])
                         at += len(self.model.pieces[i]) if i >= 0 else 1
-                    out += own
-                    sizes.append(len(own))
-                ids, bounds = np.array(out, np.int64), np.concatenate([[0], np.cumsum(sizes)])
+                times = np.ones(len(ids), np.int64)
+                times[unknown] = [len(x) for x in raw]
+                ends = np.concatenate([[0], np.cumsum(times)])
+                known = ids >= 0
+                ids, bounds = np.repeat(ids, times), ends[bounds]
+                ids[np.repeat(~known, times)] = [b for x in raw for b in x]
             self._room(len(some), len(ids))
             base = len(self.number)
             self.number.update(zip(some, range(base, base + len(some)), strict=True))
