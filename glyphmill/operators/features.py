@@ -15,7 +15,7 @@ from .ngrams import ngram_array
 BROADCAST_ROWS = 500_000
 
 
-def bag_of_ngrams(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", longest: int = 2, separator: str = " ", vocabulary_rows: int | None = None) -> DataFrame:
+def bag_of_ngrams(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", longest: int = 5, separator: str = " ", vocabulary_rows: int | None = None) -> DataFrame:
     """``doc_id``, ``idx``, ``tf`` for the recognised n-grams of each document; a document without one has no row."""
     found = docs.select(F.col(id_col).alias("doc_id"), F.explode(ngram_array(F.col(tokens_col), longest, separator)).alias("ngram"))
     small = vocabulary.select("idx", "ngram")

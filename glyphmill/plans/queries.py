@@ -14,8 +14,8 @@ from ..sources import corpus, places, sinks
 from ..streaming import incremental
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-#: Entries of a top-k report, and of the vocabulary that the word features use.
-TOP_K, VOCABULARY, MIN_MULTIPLE = 1000, 2000, 2.0
+#: Entries of a top-k report, longest n-gram, and entries of a vocabulary at most.
+TOP_K, LONGEST, VOCABULARY, MIN_MULTIPLE = 1000, 5, 2_000_000, 2.0
 DIMS, HIDDEN = 8, 4
 LIMIT, SHORT, BATCH, TEMPERATURE = 0.5, 32, 25, 3.0
 #: A public tokenizer file; a parameter of every query that reads it.
@@ -52,11 +52,15 @@ def r6(c: Column | str) -> Column:
 
 
 W = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
-#: Every 1- and 2-gram occurrence of the documents, ``k`` carrying a further column.
-GRAMS = f"""
-w AS (SELECT doc_id, {{k}} AS k, unnest({W}) AS t, generate_subscripts({W}, 1) AS i FROM documents),
-b AS (SELECT doc_id, k, t, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM w),
-g AS (SELECT doc_id, k, t AS ngram, 1 AS n FROM b UNION ALL SELECT doc_id, k, t || ' ' || u, 2 FROM b WHERE u IS NOT NULL)"""
+#: Every n-gram occurrence of the documents, up to ``LONGEST``, ``k`` carrying a further column.
+GRAMS = (
+    f"""
+w AS (SELECT doc_id, {{k}} AS k, unnest({W}) AS t1, generate_subscripts({W}, 1) AS i FROM documents),
+b AS (SELECT doc_id, k, t1, {", ".join(f"lead(t1, {n - 1}) OVER d AS t{n}" for n in range(2, LONGEST + 1))} FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+g AS ("""
+    + " UNION ALL ".join(f"SELECT doc_id, k, concat_ws(' ', {', '.join(f't{m}' for m in range(1, n + 1))}) AS ngram, {n} AS n FROM b WHERE t{n} IS NOT NULL" for n in range(1, LONGEST + 1))
+    + ")"
+)
 VOCAB = f"""
 c AS (SELECT ngram, n, count(*) AS count FROM g GROUP BY ngram, n),
 kept AS (SELECT * FROM c WHERE count >= {MIN_MULTIPLE} * (SELECT min(count) FROM c) ORDER BY count DESC, ngram LIMIT {VOCABULARY}),
@@ -117,6 +121,19 @@ def label_lines(spark, sf_dir):
     return both.select("doc_id", F.md5(text.label_line(F.col("quality"), F.col("text"))).alias("digest"))
 
 
+@query("SELECT count(*) AS row_count, count(DISTINCT doc_id) AS ids, sum(strlen(text)) AS bytes FROM documents")
+def corpus_glob(spark, sf_dir):
+    """Files that a glob names, two columns alone."""
+    rows = corpus.Corpus.of(spark, f"{sf_dir}/documents.parque[t]").read("doc_id", "text")
+    return rows.agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("doc_id").alias("ids"), F.sum(text.byte_length(F.col("text"))).alias("bytes"))
+
+
+@query("SELECT least(count(*), 50) AS row_count FROM documents")
+def first_rows(spark, sf_dir):
+    """A report of fifty rows, for which the scan ends early."""
+    return corpus.limited(table(spark, sf_dir, "documents"), 50).agg(F.count(F.lit(1)).alias("row_count"))
+
+
 # Text
 
 
@@ -170,14 +187,14 @@ def ngram_totals(spark, sf_dir):
 
 @query(f"WITH {PLAIN} SELECT ngram, CAST(n AS INTEGER) AS n, count(*) AS count FROM g GROUP BY ngram, n ORDER BY count DESC, ngram LIMIT {TOP_K}")
 def ngram_topk(spark, sf_dir):
-    """The most frequent 1- and 2-grams."""
-    return ngrams.top_ngrams(ngrams.count_ngrams(tokens_of(spark, sf_dir)), TOP_K)
+    """The most frequent n-grams of 1 to 5 words."""
+    return ngrams.top_ngrams(ngrams.count_ngrams(tokens_of(spark, sf_dir), longest=LONGEST), TOP_K)
 
 
 @query(f"WITH {PLAIN} SELECT ngram, CAST(n AS INTEGER) AS n, count(*) AS count FROM g GROUP BY ngram, n ORDER BY count DESC, ngram LIMIT {TOP_K}")
 def ngram_merge_exact(spark, sf_dir):
     """Summaries by source, counted in one pass and merged: as one summary of all."""
-    rows = ngrams.ngrams(tokens_of(spark, sf_dir, "source"), keep=("source",))
+    rows = ngrams.ngrams(tokens_of(spark, sf_dir, "source"), longest=LONGEST, keep=("source",))
     shards = rows.groupBy("source", "ngram").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("count"))
     return ngrams.merge_summaries([shards], TOP_K)
 
@@ -187,34 +204,66 @@ def ngram_merge_truncated(spark, sf_dir):
     """Summaries by language, each cut to the top k before they are merged."""
     from pyspark.sql import Window
 
-    rows = ngrams.ngrams(tokens_of(spark, sf_dir, "lang"), keep=("lang",))
+    rows = ngrams.ngrams(tokens_of(spark, sf_dir, "lang"), longest=LONGEST, keep=("lang",))
     shards = rows.groupBy("lang", "ngram").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("count"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("count").desc(), "ngram"))
     return ngrams.merge_summaries([shards.withColumn("r", rank).where(F.col("r") <= TOP_K)], TOP_K)
 
 
-@query(
-    f"""WITH a AS (SELECT doc_id, list_transform(({W})[1:3], lambda x: length(x)) AS t FROM documents),
-p AS (SELECT doc_id, t || list_transform(range(3 - len(t)), lambda x: 4294967295) AS t FROM a),
-bytes AS (SELECT doc_id, flatten(list_transform(t, lambda x: [x & 255, (x >> 8) & 255, (x >> 16) & 255, (x >> 24) & 255])) AS y FROM p),
-h AS (SELECT doc_id, list_reduce(list_transform(y, lambda v: v::UHUGEINT), lambda acc, v: (xor(acc, v) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT) AS u FROM bytes)
-SELECT doc_id, CAST(CASE WHEN u >= 9223372036854775808::UHUGEINT THEN u::HUGEINT - 18446744073709551616::HUGEINT ELSE u::HUGEINT END AS BIGINT) AS hash FROM h"""
-)
+@query(f"WITH {PLAIN}, c AS (SELECT ngram, n, count(*) AS count FROM g GROUP BY ngram, n ORDER BY count DESC, ngram LIMIT {TOP_K}) SELECT ngram, count, row_number() OVER (ORDER BY count, ngram DESC) AS place FROM c")
+def summary_order(spark, sf_dir):
+    """The top k in the published order of a summary, rising; the report is small enough for one task."""
+    top = ngrams.ascending(ngrams.top_ngrams(ngrams.count_ngrams(tokens_of(spark, sf_dir), longest=LONGEST), TOP_K).coalesce(1))
+    return top.coalesce(1).select("ngram", "count", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS raw_total, count(*) AS ngrams FROM documents WHERE false")
+def empty_summary(spark, sf_dir):
+    """The summary of a corpus without documents."""
+    none = tokens_of(spark, sf_dir).where(F.lit(False))
+    return ngrams.totals(none).crossJoin(ngrams.count_ngrams(none).agg(F.count(F.lit(1)).alias("ngrams")))  # one row each
+
+
+#: Every occurrence of 1 to 3 words as token numbers (32 bits of a word's md5) padded to 3, and the hash of each
+#: distinct one.
+HASHED = f"""
+w AS (SELECT doc_id, unnest({W}) AS t, generate_subscripts({W}, 1) AS i FROM documents),
+x AS (SELECT doc_id, i, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS a FROM w),
+b AS (SELECT doc_id, a, lead(a) OVER d AS b, lead(a, 2) OVER d AS c FROM x WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, a, 4294967295 AS b, 4294967295 AS c FROM b UNION ALL SELECT doc_id, a, b, 4294967295 FROM b WHERE b IS NOT NULL UNION ALL SELECT doc_id, a, b, c FROM b WHERE c IS NOT NULL),
+y AS (SELECT a, b, c, flatten(list_transform([a, b, c], lambda v: [v & 255, (v >> 8) & 255, (v >> 16) & 255, (v >> 24) & 255])) AS y FROM (SELECT DISTINCT a, b, c FROM g)),
+u AS (SELECT a, b, c, list_reduce(list_transform(y, lambda v: v::UHUGEINT), lambda acc, v: (xor(acc, v) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT) AS u FROM y),
+h AS (SELECT a, b, c, CAST(CASE WHEN u >= 9223372036854775808::UHUGEINT THEN u::HUGEINT - 18446744073709551616::HUGEINT ELSE u::HUGEINT END AS BIGINT) AS hash FROM u)"""
+
+
+def _token_ngrams(spark, sf_dir) -> DataFrame:
+    """``doc_id`` and ``gram`` of every 1- to 3-gram of words as token numbers."""
+    number = F.transform("tokens", lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"))
+    docs = tokens_of(spark, sf_dir).select("doc_id", number.alias("t"))
+    size = F.size("t")
+    starts = lambda n: F.when(size >= n, F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    windows = F.concat(*[F.transform(starts(n), (lambda n: lambda i: F.slice("t", i, n))(n)) for n in (1, 2, 3)])
+    return docs.select("doc_id", F.explode(windows).alias("gram"))
+
+
+@query(f"WITH {HASHED} SELECT doc_id, count(*) AS n_hashes, CAST(sum(hash & 4294967295) AS BIGINT) AS low_sum, CAST(sum(hash >> 32) AS BIGINT) AS high_sum FROM g JOIN h USING (a, b, c) GROUP BY doc_id")
 def ngram_hash_fnv1a(spark, sf_dir):
-    """Hashes of the lengths of each document's first three words, padded as a 3-gram."""
-    t = F.transform(F.slice("tokens", 1, 3), lambda x: F.length(x).cast("bigint"))
-    return tokens_of(spark, sf_dir).select("doc_id", hashing.fnv1a(t, 3).alias("hash"))
+    """FNV-1a of every 1- to 3-gram of every document, padded to 3: how many, and the sums of their halves."""
+    hashed = _token_ngrams(spark, sf_dir).select("doc_id", hashing.fnv1a(F.col("gram"), 3).alias("hash"))
+    return hashed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hashes"), F.sum(F.col("hash").bitwiseAND(0xFFFFFFFF)).alias("low_sum"), F.sum(F.shiftright("hash", 32)).alias("high_sum"))
 
 
-@query(f"WITH a AS (SELECT DISTINCT unnest({W}) AS ngram FROM documents), h AS (SELECT substr(md5(ngram), 1, 4) AS h, count(*) AS d FROM a GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS clashing_hashes, CAST(coalesce(sum(d - 1), 0) AS BIGINT) AS clashing_ngrams FROM h")
+@query(f"WITH {HASHED}, s AS (SELECT hash & 4294967295 AS h, count(*) AS d FROM h GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS clashing_hashes, CAST(coalesce(sum(d - 1), 0) AS BIGINT) AS clashing_ngrams FROM s")
 def ngram_collisions(spark, sf_dir):
-    """Words that would be lost if they were counted by a 16-bit hash."""
-    counts = ngrams.count_ngrams(tokens_of(spark, sf_dir), longest=1)
-    return ngrams.collisions(counts, F.substring(F.md5("ngram"), 1, 4))
+    """1- to 3-grams that would be lost if they were counted by the low 32 bits of their FNV-1a."""
+    distinct = _token_ngrams(spark, sf_dir).select(F.col("gram").alias("ngram")).distinct()
+    return ngrams.collisions(distinct, hashing.fnv1a(F.col("ngram"), 3).bitwiseAND(0xFFFFFFFF))
 
 
 def word_vocabulary(tokens: DataFrame) -> DataFrame:
-    return vocabulary.select_vocabulary(ngrams.count_ngrams(tokens), MIN_MULTIPLE, VOCABULARY)
+    """The vocabulary of the documents, written once: what is built on it reads it and knows its size."""
+    chosen = vocabulary.select_vocabulary(ngrams.count_ngrams(tokens, longest=LONGEST), MIN_MULTIPLE, VOCABULARY)
+    return places.stored(chosen)
 
 
 @query(f"WITH {PLAIN}, {VOCAB} SELECT CAST(idx AS INTEGER) AS idx, ngram, CAST(n AS INTEGER) AS n, count, round(CAST(idf AS DOUBLE), 4) AS idf FROM v")
@@ -226,7 +275,7 @@ def vocab_idf(spark, sf_dir):
 def corpus_counts(spark, sf_dir):
     """Counts of the vocabulary over the corpus, which are those that it was chosen by."""
     docs = tokens_of(spark, sf_dir)
-    return ngrams.corpus_counts(docs, word_vocabulary(docs))
+    return ngrams.corpus_counts(docs, word_vocabulary(docs), longest=LONGEST)
 
 
 @query(f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({W}) AS token FROM documents) GROUP BY ALL")
@@ -234,10 +283,12 @@ def unigram_bow(spark, sf_dir):
     return features.bag_of_tokens(tokens_of(spark, sf_dir))
 
 
-def _bag(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _bag(spark, sf_dir) -> tuple[DataFrame, DataFrame, int]:
+    """Counts of each document's entries, the vocabulary and its size."""
     docs = tokens_of(spark, sf_dir)
     words = word_vocabulary(docs)
-    return features.bag_of_ngrams(docs, words, vocabulary_rows=VOCABULARY), words
+    size = words.count()
+    return features.bag_of_ngrams(docs, words, longest=LONGEST, vocabulary_rows=size), words, size
 
 
 @query(f"WITH {PLAIN}, {VOCAB}, {BAG} SELECT doc_id, CAST(idx AS INTEGER) AS idx, tf FROM bag")
@@ -247,14 +298,14 @@ def ngram_bow(spark, sf_dir):
 
 @query(f"WITH {PLAIN}, {VOCAB}, {BAG}, {TFIDF} SELECT doc_id, CAST(idx AS INTEGER) AS idx, round(weight, 6) AS weight FROM tfidf")
 def tfidf(spark, sf_dir):
-    bag, words = _bag(spark, sf_dir)
-    return features.tfidf(bag, words, vocabulary_rows=VOCABULARY).withColumn("weight", r6("weight"))
+    bag, words, size = _bag(spark, sf_dir)
+    return features.tfidf(bag, words, vocabulary_rows=size).withColumn("weight", r6("weight"))
 
 
 @query(f"WITH {PLAIN}, {VOCAB}, {BAG}, r AS (SELECT doc_id, string_agg(idx || ':' || tf, ' ' ORDER BY idx) AS sparse FROM bag GROUP BY doc_id) SELECT doc_id, coalesce(sparse, '') AS sparse FROM documents LEFT JOIN r USING (doc_id)")
 def csr_rows(spark, sf_dir):
     """Sparse rows of counts, one for each document, those without an entry empty."""
-    bag, _ = _bag(spark, sf_dir)
+    bag, _, _ = _bag(spark, sf_dir)
     rows = features.with_empty(table(spark, sf_dir, "documents"), features.to_rows(bag, "tf"))
     shown = F.zip_with("indices", "values", lambda i, v: F.concat(i.cast("string"), F.lit(":"), v.cast("bigint").cast("string")))
     return rows.select("doc_id", F.array_join(shown, " ").alias("sparse"))
@@ -263,7 +314,7 @@ def csr_rows(spark, sf_dir):
 @query(f"WITH {PLAIN}, {VOCAB}, {BAG} SELECT doc_id, CAST(idx AS INTEGER) AS idx, tf FROM bag")
 def csr_unpack(spark, sf_dir):
     """Counts packed into sparse rows and unpacked."""
-    bag, _ = _bag(spark, sf_dir)
+    bag, _, _ = _bag(spark, sf_dir)
     return features.from_rows(features.to_rows(bag, "tf", VOCABULARY), "tf").withColumn("tf", F.col("tf").cast("bigint"))
 
 
@@ -281,8 +332,8 @@ PROJECTED = f"projected AS (SELECT doc_id, {_P} FROM tfidf GROUP BY doc_id)"
 
 
 def _projected(spark, sf_dir) -> DataFrame:
-    bag, words = _bag(spark, sf_dir)
-    return features.project(features.tfidf(bag, words, vocabulary_rows=VOCABULARY), formula_weights(words), DIMS, weight_rows=VOCABULARY)
+    bag, words, size = _bag(spark, sf_dir)
+    return features.project(features.tfidf(bag, words, vocabulary_rows=size), formula_weights(words), DIMS, weight_rows=size)
 
 
 @query(f"WITH {PLAIN}, {VOCAB}, {BAG}, {TFIDF}, {PROJECTED} SELECT doc_id, {', '.join(f'round(s{k}, 6) AS s{k}' for k in range(DIMS))} FROM projected")
@@ -347,6 +398,13 @@ def quantize(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(vectors.quantize(F.col("embedding"), LIMIT).cast("array<string>"), " ").alias("codes"))
 
 
+@query(f"SELECT vec_id, array_to_string({Q}, ' ') AS codes FROM embeddings")
+def stored_codes(spark, sf_dir):
+    """Codes written to a table and read from it."""
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", vectors.quantize(F.col("embedding"), LIMIT).alias("q"))
+    return places.stored(codes).select("vec_id", F.array_join(F.col("q").cast("array<string>"), " ").alias("codes"))
+
+
 @query(f"SELECT vec_id, {_sql_joined(D, 5)} AS v FROM embeddings")
 def dequantize(spark, sf_dir):
     codes = vectors.quantize(F.col("embedding"), LIMIT)
@@ -411,6 +469,16 @@ def batch_index(spark, sf_dir):
     return ordering.batch_index(spark, 100, 15, 10).select("step", F.col("idx")[0].alias("first_idx"), F.col("idx")[9].alias("last_idx"))
 
 
+@query(
+    """WITH r AS (SELECT e.range AS epoch, x.range AS i, row_number() OVER (PARTITION BY e.range ORDER BY md5('7|' || e.range || '|' || x.range), x.range) - 1 AS rn FROM range(2) e, range(105) x)
+SELECT epoch * 10 + rn // 10 AS step, string_agg(i, ' ' ORDER BY rn) AS batch FROM r WHERE rn < 100 AND epoch * 10 + rn // 10 < 15 GROUP BY 1"""
+)
+def batch_index_shuffled(spark, sf_dir):
+    """Fifteen batches of 10 of 105 rows: a new order in the second epoch, the rest of an epoch dropped."""
+    got = ordering.batch_index(spark, 105, 15, 10, shuffle=True, seed=7)
+    return got.select("step", F.array_join(F.col("idx").cast("array<string>"), " ").alias("batch"))
+
+
 @query("SELECT doc_id, length(text) AS chars, quality AS teacher FROM documents JOIN labels USING (doc_id)")
 def pair_by_id(spark, sf_dir):
     """Texts with what a second table says of them; labels stand for vectors."""
@@ -490,7 +558,7 @@ def stream_ngram_counts(spark, sf_dir):
     """The counts of a stream of files: as those of the batch query."""
     folder = places.workfolder(spark)
     docs = table(spark, sf_dir, "documents")
-    incremental.count_stream(incremental.documents(spark, f"{sf_dir}/documents.parque[t]", docs.schema), folder).awaitTermination()
+    incremental.count_stream(incremental.documents(spark, f"{sf_dir}/documents.parque[t]", docs.schema), folder, longest=LONGEST).awaitTermination()
     return ngrams.top_ngrams(incremental.counted(spark, folder), TOP_K)
 
 
@@ -516,7 +584,7 @@ def ngram_hashes(spark, sf_dir):
     return ngrams.ngram_hashes(texts(spark, sf_dir), subword.read_state(TOKENIZER))
 
 
-def make_embedder(spark: SparkSession, sf_dir: str, longest: int = 3, dims: tuple[int, ...] = (96, 192), most: int = 200_000) -> embed.Embedder:
+def make_embedder(spark: SparkSession, sf_dir: str, longest: int = LONGEST, dims: tuple[int, ...] = (96, 192), most: int = VOCABULARY) -> embed.Embedder:
     """An untrained embedder whose vocabulary comes from the documents."""
     state = subword.read_state(TOKENIZER)
     docs = subword.tokenize(texts(spark, sf_dir).select("text"), state)
@@ -539,7 +607,7 @@ def embed_quantized(spark, sf_dir):
 def train_distilled(spark, sf_dir):
     """Loss by step of a small network that learns from a larger random one."""
     docs = texts(spark, sf_dir)
-    model = make_embedder(spark, sf_dir, longest=2, dims=(32, 16), most=20_000)
+    model = make_embedder(spark, sf_dir, dims=(32, 16))
     teacher = embed.Embedder(model.tokenizer, model.ngrams, model.idf, embed.Network.random([len(model.idf), 64, 32], seed=5)).embed(docs)
     return training.metrics(spark, training.train(model, docs, teacher, epochs=2, size=100))
 
@@ -550,11 +618,11 @@ def _classified(spark, sf_dir, kind: str) -> DataFrame:
     own = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
     dims = 0
     if kind == "bigrams":
-        data = own.select("doc_id", text.words(F.col("text")).alias("words"))
+        data = own.select("doc_id", F.split(text.normalize_line(F.col("text")), " ").alias("words"))
     else:
         from pyspark.ml.functions import array_to_vector
 
-        model = make_embedder(spark, sf_dir, longest=2, dims=(96, 64), most=50_000)
+        model = make_embedder(spark, sf_dir, dims=(96, 64))
         dims = model.embedding_dim
         data = model.embed(own).select("doc_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     folder = places.workfolder(spark)
@@ -582,7 +650,7 @@ def bigram_baseline(spark, sf_dir):
 @query()
 def topk_sketch(spark, sf_dir):
     """Heavy hitters by sketches of bounded size, one a language, merged."""
-    parts = ngrams.sketch(tokens_of(spark, sf_dir, "lang"), by=("lang",))
+    parts = ngrams.sketch(tokens_of(spark, sf_dir, "lang"), longest=LONGEST, by=("lang",))
     return ngrams.merge_sketches(parts, 100)
 
 
@@ -591,6 +659,6 @@ def stream_embed(spark, sf_dir):
     """The vectors of a stream of files, written in append mode."""
     folder = places.workfolder(spark)
     docs = table(spark, sf_dir, "documents")
-    model = make_embedder(spark, sf_dir, longest=2, dims=(32, 16), most=20_000)
+    model = make_embedder(spark, sf_dir, dims=(32, 16))
     incremental.embed_stream(model, incremental.documents(spark, f"{sf_dir}/documents.parque[t]", docs.schema).select("doc_id", "text"), folder).awaitTermination()
     return spark.read.parquet(f"{folder}/vectors")

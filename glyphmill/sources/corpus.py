@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from urllib.parse import urlparse
+from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,15 +60,45 @@ class Corpus:
         """The files behind the paths, sorted."""
         return sorted(self.read().inputFiles())
 
-    def batches(self, size: int = 4096, seed: int | None = None) -> Iterator[pa.RecordBatch]:
+    def batches(self, size: int = 4096, seed: int | None = None, columns: Sequence[str] | None = None, most: int | None = None) -> Iterator[pa.RecordBatch]:
         """Record batches of at most ``size`` rows for a consumer on this machine, file by file; with a seed the files
-        come in an order that depends on it. One file is in memory at once."""
+        come in an order that depends on it. A file is read a row group at a time, ``columns`` alone, and reading ends
+        after ``most`` rows."""
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
         files = self.files()
         if seed is not None:
             files.sort(key=lambda f: hashlib.md5(f"{seed}|{f}".encode()).hexdigest())
         for f in files:
-            for batch in self.spark.read.parquet(f).toArrow().to_batches(size):
-                yield batch
+            if most is not None and most <= 0:
+                return
+            where, path = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", re.sub("^s3[an]:", "s3:", f)))
+            with where.open_input_file(unquote(path) if f.startswith("file:") else path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(size, columns=list(columns) if columns else None):
+                    if most is not None:
+                        batch = batch.slice(0, most)
+                        most -= batch.num_rows
+                    if batch.num_rows:
+                        yield batch
+                    if most is not None and most <= 0:
+                        return
+
+    def tokens(self, state: str, text_col: str = "text", most: int | None = None, size: int = 4096) -> Iterator[np.ndarray]:
+        """Token numbers of one document after another for a consumer on this machine; ends after ``most`` documents
+        without reading further row groups. Null texts are left out."""
+        from ..functions import subword
+
+        tokenizer = subword.load(state)
+        for batch in self.batches(size, columns=[text_col]):
+            texts = [t for t in batch.column(0).to_pylist() if t is not None][:most]
+            flat, bounds = subword.encode(tokenizer, texts)
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                yield flat[lo:hi]
+            if most is not None:
+                most -= len(texts)
+                if most <= 0:
+                    return
 
 
 #: Bytes a core up to which ``spread`` moves rows.

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from ..functions.text import words
 from ..operators.embed import Embedder
 from ..operators.ngrams import count_ngrams, ngrams
+from ..sources.corpus import spread
 
 
 def documents(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -21,23 +22,25 @@ def documents(spark: SparkSession, path: str, schema: StructType, files_per_batc
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def count_stream(docs: DataFrame, folder: str, text_col: str = "text", longest: int = 2) -> StreamingQuery:
+def count_stream(docs: DataFrame, folder: str, text_col: str = "text", longest: int = 5) -> StreamingQuery:
     """Start counting into ``folder/counts`` what there is, and stop; run it again for what came since."""
 
     def write(batch: DataFrame, number: int) -> None:
-        own = batch.select(words(F.col(text_col)).alias("tokens"))
+        own = spread(batch.select(text_col)).select(words(F.col(text_col)).alias("tokens"))
         count_ngrams(own, "tokens", longest).write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
 
 
 def counted(spark: SparkSession, folder: str) -> DataFrame:
-    """The counts over all batches so far: ``ngram``, ``n``, ``count``."""
+    """The counts over all batches so far: ``ngram``, ``n``, ``count``. Those of one batch alone are whole already."""
     parts = spark.read.parquet(f"{folder}/counts")
+    if parts.select("batch").distinct().limit(2).count() < 2:
+        return parts.select("ngram", "n", "count")
     return parts.groupBy("ngram").agg(F.max("n").alias("n"), F.sum("count").alias("count"))
 
 
-def running_counts(docs: DataFrame, text_col: str = "text", longest: int = 2) -> DataFrame:
+def running_counts(docs: DataFrame, text_col: str = "text", longest: int = 5) -> DataFrame:
     """The counts as a streaming aggregate, for complete or update mode; its state holds every distinct n-gram, so a
     large corpus wants the RocksDB state store, or ``count_stream``."""
     found = ngrams(docs.select(words(F.col(text_col)).alias("tokens")), "tokens", longest)

@@ -64,3 +64,24 @@ def test_classifiers_find_an_easy_class(spark, kind):
 def test_unknown_classifier():
     with pytest.raises(ValueError):
         evaluation.classifier("oracle", 1)
+
+
+def test_auc_with_an_outlier_keeps_ranges_even(spark):
+    """All scores but one lie in a millionth of their span."""
+    rng = np.random.default_rng(4)
+    s = np.append(rng.random(399) * 1e-6, 1.0)
+    y = rng.integers(0, 2, 400)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s, strict=True)], "y int, s double")
+    assert evaluation.auc(df, F.col("y"), F.col("s"), ranges=16).first().auc == pytest.approx(brute_auc(y, s))
+    cuts = df.agg(F.percentile_approx("s", [k / 16 for k in range(1, 16)], 160)).first()[0]
+    assert max(np.histogram(s, [-1.0, *sorted(set(cuts)), 2.0])[0]) < 60
+
+
+def test_sections_add_up():
+    seconds = {}
+    for _ in range(2):
+        with evaluation.section(seconds, "a"):
+            pass
+    with pytest.raises(KeyError), evaluation.section(seconds, "b"):
+        raise KeyError
+    assert set(seconds) == {"a", "b"} and min(seconds.values()) >= 0

@@ -229,3 +229,15 @@ def test_teacher(spark):
 def test_pad_is_kept_for_wide_ngrams():
     wide = np.array([[5, np.iinfo(np.uint32).max], [np.iinfo(np.int64).max, 1]], np.int64)
     assert models._as_uint32(wide).tolist() == [[5, 2**32 - 1], [2**32 - 1, 1]]
+
+
+def test_kernels_agree():
+    from glyphmill.operators import network
+
+    rng = np.random.default_rng(0)
+    dense = rng.normal(size=(70, 40)) * (rng.random((70, 40)) < 0.2)
+    dense[[0, 33, 69]] = 0
+    got = network.compare_kernels(network.Sparse.of(dense.astype(np.float32)), rng.normal(size=(40, 19)).astype(np.float32), batches=(16, 64, 100), runs=1)
+    assert len(got) == 3 * len(network.KERNELS) and all(r["close"] and r["seconds"] > 0 for r in got)
+    assert np.allclose(network.by_dense(network.Sparse.of(dense), np.eye(40)), dense)
+    assert network.compare_kernels(network.Sparse.of(np.zeros((0, 4))), np.zeros((4, 2)), runs=1)[0]["close"]

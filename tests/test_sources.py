@@ -121,3 +121,29 @@ def test_spread(spark, files, monkeypatch):
     assert sorted(map(tuple, corpus.spread(one).collect())) == sorted(map(tuple, one.collect()))
     monkeypatch.setattr(corpus, "SPREAD_BYTES", 1)
     assert corpus.spread(one) is one
+
+
+def test_row_groups_stream_and_stop(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from glyphmill.functions import subword
+    from glyphmill.plans.queries import TOKENIZER
+    from glyphmill.sources.corpus import Corpus
+
+    for k in range(3):
+        rows = {"id": [f"{k}-{i}" for i in range(10)], "text": [f"text {k} {i}" if i else None for i in range(10)]}
+        pq.write_table(pa.table(rows), tmp_path / f"a b{k}.parquet", row_group_size=4)
+    corpus = Corpus.of(spark, str(tmp_path))
+    got = list(corpus.batches(3, columns=["id"]))
+    assert max(b.num_rows for b in got) <= 3 and [b.schema.names for b in got][0] == ["id"]
+    assert [x for b in got for x in b.column(0).to_pylist()] == [f"{k}-{i}" for k in range(3) for i in range(10)]
+    assert [x for b in corpus.batches(4, most=13) for x in b.column(0).to_pylist()] == [f"{k}-{i}" for k in range(3) for i in range(10)][:13]
+    assert list(corpus.batches(most=0)) == []
+    a, b = ([x for b in corpus.batches(4, seed=s) for x in b.column(0).to_pylist()] for s in (1, 1))
+    assert a == b and sorted(a) == sorted(f"{k}-{i}" for k in range(3) for i in range(10))
+    state = subword.read_state(TOKENIZER)
+    tokens = [t.tolist() for t in corpus.tokens(state, most=11)]
+    texts = [f"text {k} {i}" for k in range(3) for i in range(1, 10)]
+    flat, bounds = subword.encode(subword.load(state), texts[:11])
+    assert tokens == [flat[lo:hi].tolist() for lo, hi in zip(bounds[:-1], bounds[1:])]
