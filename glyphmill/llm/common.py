@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -42,6 +43,20 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The rows as Parquet in the shared folder, which takes less room than a checkpoint for a long table of numbers,
+    and a function that deletes them once what needs them is itself materialised."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+
+    def delete() -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.parquet(folder), delete
+
+
 def semi(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi", most: int = BROADCAST_ROWS) -> DataFrame:
     """Semi or anti join of wide rows with a set of keys that has been materialised.
 

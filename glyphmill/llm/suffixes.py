@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import lean, lookup, materialized, plain, semi, table
+from .common import BROADCAST_ROWS, lean, lookup, materialized, plain, semi, table, written
 from .jaccard import _by_key
 
 LENGTH, Q = 50, 8
 #: Segments of one minimizer up to which they are sorted in one shard (about 370 bytes each).
-HOT = 1 << 15
+HOT = 1 << 13
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -104,12 +104,18 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterato
                 )
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterator[pa.RecordBatch]:
-    """Hash and place of every window of the hot minimizers."""
+def _windows(batches: Iterator[pa.RecordBatch], length: int, q: int, shared=None) -> Iterator[pa.RecordBatch]:
+    """Hash and place of every window of the hot minimizers: those of a broadcast array, or of the text's ``many``."""
     for batch in batches:
         for part in tb.slices(batch):
             tokens = tb.tokenize(part.column("text"))
-            key, first, last, doc = _kept(part, tokens, length, q, "many")
+            if shared is None:
+                key, first, last, doc = _kept(part, tokens, length, q, "many")
+            else:
+                key, first, last = segments(tokens, length, q)
+                on = np.isin(key.view(np.int64), shared.value)
+                key, first, last = key[on], first[on], last[on]
+                doc = tokens.doc[first]
             if not len(key):
                 continue
             sizes = last - first + 1
@@ -255,18 +261,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         raise ValueError("q must be between 1 and length")
     docs = plain(docs, id_col, text_col).where("doc_id IS NOT NULL")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = materialized(docs.mapInArrow(lean(partial(_minimizers, length=length, q=q)), f"key bigint, doc_id {kind}"))
+    found, delete = written(docs.mapInArrow(lean(partial(_minimizers, length=length, q=q)), f"key bigint, doc_id {kind}"))
     often = materialized(found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
     mine = lookup(found, often, "key").where("times IS NOT NULL")
     is_hot = F.col("times") > hot
     keys = materialized(mine.groupBy("doc_id").agg(F.collect_set(F.when(~is_hot, F.col("key"))).alias("some"), F.collect_set(F.when(is_hot, F.col("key"))).alias("many")))
+    delete()
     texts = semi(docs, keys.select("doc_id"), "doc_id").join(keys.hint("shuffle_hash"), "doc_id")
     parts = texts.select("doc_id", "text", "some").where(F.size("some") > 0).mapInArrow(lean(partial(_segments, length=length, q=q)), f"key bigint, doc_id {kind}, start int, tokens binary")
     marked = parts.repartition("key").sortWithinPartitions("key").mapInArrow(lean(partial(_mark, length=length)), f"doc_id {kind}, lo int, hi int")
-    if not often.where(is_hot).isEmpty():
-        windows = materialized(texts.select("doc_id", "text", "many").where(F.size("many") > 0).mapInArrow(lean(partial(_windows, length=length, q=q)), f"window bigint, doc_id {kind}, lo int"))
+    shared = often.where(is_hot).count()
+    if shared:
+        schema = f"window bigint, doc_id {kind}, lo int"
+        if shared <= BROADCAST_ROWS:  # few keys, wherever they occur: their texts needn't be shuffled
+            known = docs.sparkSession.sparkContext.broadcast(often.where(is_hot).select("key").toPandas()["key"].to_numpy())
+            owners = keys.where(F.size("many") > 0).select("doc_id")
+            near = semi(docs, owners, "doc_id") if owners.count() <= BROADCAST_ROWS else docs
+            windows, forget = written(near.mapInArrow(lean(partial(_windows, length=length, q=q, shared=known)), schema))
+        else:
+            windows, forget = written(texts.select("doc_id", "text", "many").where(F.size("many") > 0).mapInArrow(lean(partial(_windows, length=length, q=q)), schema))
         again = materialized(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        marked = marked.unionByName(lookup(windows, again, "window").where("n IS NOT NULL").select("doc_id", "lo", (F.col("lo") + length).alias("hi")))
+        spans = materialized(lookup(windows, again, "window").where("n IS NOT NULL").select("doc_id", "lo", (F.col("lo") + length).alias("hi")))
+        forget()
+        marked = marked.unionByName(spans)
     by = Window.partitionBy("doc_id").orderBy("lo", "hi")
     before = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = marked.withColumn("new", F.when(F.col("lo") <= before, 0).otherwise(1)).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))

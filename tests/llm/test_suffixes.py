@@ -87,3 +87,13 @@ def test_a_passage_that_half_of_the_texts_have(spark):
     for hot in (20, suffixes.HOT):
         assert {tuple(r) for r in suffixes.repeated_passages(df, hot=hot).collect()} == want
     assert len(want) == 200
+
+
+def test_many_hot_minimizers(spark, monkeypatch):
+    """More hot minimizers than are broadcast: the same spans."""
+    monkeypatch.setattr(suffixes, "BROADCAST_ROWS", 0)
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(d, " ".join([*[f"w{rng.randrange(10**6)}" for _ in range(20)], *(passage if d % 3 else [])])) for d in range(60)]
+    got = {tuple(r) for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), hot=3).collect()}
+    assert got == brute(rows, 50) and len(got) == 40
