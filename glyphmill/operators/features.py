@@ -13,6 +13,8 @@ from .ngrams import ngram_array
 
 #: Vocabulary entries up to which it is broadcast (about 60 bytes each); a larger one is left to the planner.
 BROADCAST_ROWS = 500_000
+#: Entries up to which numbers alone (16 to 24 bytes an entry, so at most 48 MB) are broadcast.
+HASHED_ROWS = 2_000_000
 
 
 def bag_of_ngrams(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", longest: int = 5, separator: str = " ", vocabulary_rows: int | None = None) -> DataFrame:
@@ -21,6 +23,10 @@ def bag_of_ngrams(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id"
     small = vocabulary.select("idx", "ngram")
     if vocabulary_rows is not None and vocabulary_rows <= BROADCAST_ROWS:
         small = F.broadcast(small)
+    elif vocabulary_rows is not None and vocabulary_rows <= HASHED_ROWS:  # 128 bits of hashes stand for the n-grams
+        marks = [F.xxhash64("ngram").alias("h"), F.xxhash64(F.lit(1), "ngram").alias("c")]
+        both = found.select("doc_id", *marks).join(F.broadcast(small.select("idx", *marks)), ["h", "c"])
+        return both.groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias("tf"))
     return found.join(small, "ngram").groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -42,7 +48,7 @@ def tfidf(bag: DataFrame, vocabulary: DataFrame, normalize: bool = True, vocabul
     The document's norm is taken over an array of its entries, so one shuffle by document serves both.
     """
     small = vocabulary.select("idx", "idf")
-    if vocabulary_rows is not None and vocabulary_rows <= BROADCAST_ROWS:
+    if vocabulary_rows is not None and vocabulary_rows <= HASHED_ROWS:
         small = F.broadcast(small)
     weighted = bag.join(small, "idx").select("doc_id", "idx", (F.col("tf") * F.col("idf").cast("double")).alias("w"))
     if not normalize:
