@@ -1,14 +1,25 @@
 """Bag of n-grams and TF-IDF in relational form, and sparse rows.
 
+``ngram_rows`` makes sparse rows of counts or weights from tokens in one Arrow stage; the relational forms are for what
+is in tables already.
+
 The vocabulary is the small side of the join. Its largest size is a parameter of ``select_vocabulary``; callers that
 know it pass ``vocabulary_rows``, and up to ``BROADCAST_ROWS`` the n-grams of the corpus stay where they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .embed import Lookup, count_known
+from .frequent import Files, lean, numbers, written
+from .network import Sparse
 from .ngrams import ngram_array
 
 #: Vocabulary entries up to which it is broadcast (about 60 bytes each); a larger one is left to the planner.
@@ -97,3 +108,93 @@ def dense_layer(v: Column, rows: list[list[float]]) -> Column:
     """Product of a vector with a small matrix given by rows."""
     times = lambda row: F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in row]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return F.array(*[times(row) for row in rows])
+
+
+#: Tokens that ``ngram_rows`` looks up at once.
+LOOKED_UP = 1 << 18
+
+
+def _entries(table: pa.Table) -> tuple[pa.Array, Lookup, np.ndarray, np.ndarray]:
+    """Words of a vocabulary, its n-grams as padded numbers of them, and its inverse frequencies, in order of idx."""
+    table = table.sort_by("idx").combine_chunks()
+    split = pc.split_pattern(table.column("ngram").combine_chunks(), " ") if table.num_rows else pa.array([], pa.list_(pa.string()))
+    coded = split.flatten().dictionary_encode()
+    sizes = np.diff(split.offsets.to_numpy())
+    rows = np.full((len(sizes), int(sizes.max(initial=1))), np.iinfo(np.uint32).max, np.uint32)
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = coded.indices.to_numpy(zero_copy_only=False)
+    return coded.dictionary, Lookup(rows), rows, table.column("idf").to_numpy().astype(np.float64)
+
+
+def _weighed(x: Sparse, idf: np.ndarray) -> np.ndarray:
+    v = x.values * idf[x.columns]
+    row = np.repeat(np.arange(x.rows), np.diff(x.bounds))
+    norm = np.sqrt(np.bincount(row, v * v, x.rows))
+    norm[norm == 0] = 1
+    return v / norm[row]
+
+
+def _row_batch(ids: pa.Array, x: Sparse, values: np.ndarray) -> pa.RecordBatch:
+    ends = pa.array(x.bounds.astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x.columns.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(values.astype(np.float64)))]
+    return pa.RecordBatch.from_arrays([ids, *lists], names=["doc_id", "indices", "values"])
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], vocabulary: Files, weighted: bool) -> Iterator[pa.RecordBatch]:
+    words, lookup, rows, idf = vocabulary.open(_entries)
+    for batch in batches:
+        column, at = batch.column(1), 0
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        while at < len(column):
+            hi = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOKED_UP, side="right")))
+            flat, bounds = numbers(column.slice(at, hi - at), words)
+            x = count_known(lookup, flat, bounds, len(rows), rows)
+            yield _row_batch(batch.column(0).slice(at, hi - at), x, _weighed(x, idf) if weighted else x.values)
+            at = hi
+
+
+def _weights(batches: Iterator[pa.RecordBatch], vocabulary: Files) -> Iterator[pa.RecordBatch]:
+    _, _, rows, idf = vocabulary.open(_entries)
+    for batch in batches:
+        at = batch.column(1).offsets.to_numpy().astype(np.int64)
+        x = Sparse(at - at[0], batch.column(1).flatten().to_numpy().astype(np.int64), batch.column(2).flatten().to_numpy(), len(rows))
+        yield _row_batch(batch.column(0), x, _weighed(x, idf))
+
+
+def ngram_rows(docs: DataFrame, vocabulary: DataFrame, weighted: bool = False) -> DataFrame:
+    """Sparse rows ``doc_id``, ``indices`` (rising), ``values``: counts of each document's entries, or TF-IDF at unit
+    length. ``docs`` has ``doc_id`` and ``tokens``. A document without an entry has empty arrays; documents of one
+    identifier are one row. Only such documents are shuffled.
+
+    The vocabulary is read by each worker from files; what is looked up by hash is compared with the n-gram itself."""
+    _, folder = written(vocabulary.select("idx", "ngram", "idf"))
+    entries = Files(docs.sparkSession, folder)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, indices array<int>, values array<double>"
+    look = lambda df, w: df.select("doc_id", "tokens").mapInArrow(lean(_looked_up, vocabulary=entries, weighted=w), schema)
+    again, _ = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("same")))
+    if again.isEmpty():
+        return look(docs, weighted)
+    same = F.col("doc_id").eqNullSafe(F.col("same"))
+    entry = F.explode(F.arrays_zip("indices", "values")).alias("e")
+    found = look(docs.join(again, same, "left_semi"), False)
+    sums = found.select("doc_id", entry).groupBy("doc_id", F.col("e.indices").alias("idx")).agg(F.sum("e.values").alias("tf"))
+    rows = found.select("doc_id").distinct().alias("d").join(to_rows(sums, "tf").alias("r"), F.expr("d.doc_id <=> r.doc_id"), "left").select("d.doc_id", F.coalesce("indices", F.array().cast("array<int>")).alias("indices"), F.coalesce("values", F.array().cast("array<double>")).alias("values"))
+    if weighted:
+        rows = rows.mapInArrow(lean(_weights, vocabulary=entries), schema)
+    return look(docs.join(again, same, "left_anti"), weighted).unionByName(rows)
+
+
+def _projected(batches: Iterator[pa.RecordBatch], column: Callable[[np.ndarray, int], np.ndarray], dims: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.column(1).offsets.to_numpy().astype(np.int64)
+        idx, x = batch.column(1).flatten().to_numpy().astype(np.int64), batch.column(2).flatten().to_numpy()
+        row = np.repeat(np.arange(len(batch)), np.diff(at))
+        sums = np.stack([np.bincount(row, x * column(idx, k), len(batch)) for k in range(dims)], axis=1)
+        lists = pa.ListArray.from_arrays(pa.array((np.arange(len(batch) + 1) * dims).astype(np.int32)), pa.array(sums.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "v"])
+
+
+def project_rows(rows: DataFrame, column: Callable[[np.ndarray, int], np.ndarray], dims: int) -> DataFrame:
+    """Sparse rows times a matrix given by a function of indices and column: ``doc_id`` and ``v array<double>``."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "indices", "values").mapInArrow(lean(_projected, column=column, dims=dims), f"doc_id {kind}, v array<double>")

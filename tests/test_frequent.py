@@ -1,0 +1,82 @@
+"""Counts by windows against the plain aggregate and brute force."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from glyphmill.operators import frequent, ngrams, vocabulary
+
+from .test_ngrams import brute
+
+
+def corpus(seed, copies=1):
+    r = random.Random(seed)
+    docs = [[int(r.paretovariate(0.7)) % 300 for _ in range(r.randrange(40))] for _ in range(120)] + [None, [], [7], [5] * 30]
+    return docs * copies
+
+
+def frames(spark, docs, words):
+    kind, of = ("string", lambda t: f"w{t}é") if words else ("bigint", int)
+    rows = [(i, None if d is None else [of(t) for t in d]) for i, d in enumerate(docs)]
+    return spark.createDataFrame(rows, f"doc_id bigint, tokens array<{kind}>").repartition(5)
+
+
+@pytest.mark.parametrize("copies,most,multiple", [(1, 50, 1.0), (1, 10**6, 2.0), (1, 300, 2.0), (3, 10**6, 2.0), (3, 10**6, 1.0), (2, 777, 1.5)])
+def test_words_as_the_aggregate(spark, copies, most, multiple):
+    docs = frames(spark, corpus(copies, copies), True)
+    want = vocabulary.select_vocabulary(ngrams.count_ngrams(docs, longest=5), multiple, most)
+    got = frequent.frequent_words(docs, most=most, min_multiple=multiple, block=200)
+    plain = lambda df: sorted((r.idx, r.ngram, r.n, r["count"], round(r.idf, 5)) for r in df.collect())
+    assert plain(got.vocabulary()) == plain(want)
+    top = [tuple(r) for r in got.top().select("ngram", "n", "count").collect()]
+    assert top == [tuple(r) for r in want.orderBy(F.col("count").desc(), "ngram").select("ngram", "n", "count").collect()]
+
+
+def test_tokens_as_brute_force(spark):
+    docs = corpus(4, 2)
+    want = brute([d or [] for d in docs], 5)
+    for block, bits in ((100, 32), (10**6, 16)):
+        got = frequent.frequent_tokens(frames(spark, docs, False), most=10**6, block=block, bits=bits, size=frequent.BUCKET * 7)
+        assert {tuple(r.ngram): r["count"] for r in got.rows.collect()} == want
+    cut = frequent.frequent_tokens(frames(spark, docs, False), most=40, min_multiple=2.0)
+    first = sorted(want.items(), key=lambda x: (-x[1], x[0]))[:40]
+    assert [(tuple(r.ngram), r["count"]) for r in cut.top().collect()] == first
+
+
+def test_nothing(spark):
+    none = frames(spark, [None, []], True)
+    got = frequent.frequent_words(none, min_multiple=2.0)
+    assert got.top().count() == 0 and got.vocabulary().count() == 0
+
+
+def test_a_drawn_network_is_the_random_one():
+    import numpy as np
+
+    from glyphmill.operators.network import Drawn, Network, Sparse
+
+    dims = [70000, 8, 6, 3]
+    plain, drawn = Network.random(dims, seed=3), Drawn(dims, 3)
+    assert all((a == b).all() for a, b in zip(plain.layers[1:], drawn.rest, strict=True)) and (drawn.first() == plain.first()).all()
+    r = np.random.default_rng(1)
+    bounds = np.array([0, 400, 400, 1000, 1001])
+    x = Sparse(bounds, np.concatenate([np.sort(r.choice(70000, b - a, False)) for a, b in zip(bounds, bounds[1:])]), r.uniform(0, 1, 1001).astype(np.float32), 70000)
+    assert np.allclose(plain(x), drawn(x), atol=1e-5)
+
+
+def test_embedding_with_a_drawn_layer(spark, monkeypatch):
+    import numpy as np
+
+    from glyphmill.operators import embed
+    from glyphmill.plans import queries
+
+    docs = queries.texts(spark, "/root/testdata/sf0.001").limit(40).unionByName(spark.sql("SELECT -1L AS doc_id, CAST(NULL AS STRING) AS text"))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    kept = queries._token_ngrams_kept(docs, 5, 5000, 2.0).vocabulary()
+    made = embed.from_vocabulary(kept, queries.subword.read_state(queries.TOKENIZER), (8, 4))
+    monkeypatch.setattr(embed, "MADE", 10)
+    drawn = embed.from_vocabulary(kept, made.tokenizer, (8, 4))
+    assert isinstance(drawn.network, embed.Drawn) and not isinstance(made.network, embed.Drawn)
+    a, b = ({r.doc_id: r.embedding for r in m.embed(docs).collect()} for m in (made, drawn))
+    assert a.keys() == b.keys() and a[-1] is None and b[-1] is None
+    assert all(np.allclose(a[k], b[k], atol=1e-4) for k in a if k >= 0)
