@@ -32,6 +32,17 @@ def count_stream(docs: DataFrame, folder: str, text_col: str = "text", longest:
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
 
 
+def token_stream(docs: DataFrame, folder: str, text_col: str = "text") -> StreamingQuery:
+    """Write the words of what there is into ``folder/tokens``, and stop; run it again for what came since. They are
+    much smaller than the counts of all their n-grams, and what is counted from them is exact over all batches."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = spread(batch.select(text_col)).select(words(F.col(text_col)).alias("tokens"))
+        own.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/tokens/batch={number}")
+
+    return docs.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+
+
 def counted(spark: SparkSession, folder: str) -> DataFrame:
     """The counts over all batches so far: ``ngram``, ``n``, ``count``. Those of one batch alone are whole already."""
     parts = spark.read.parquet(f"{folder}/counts")
