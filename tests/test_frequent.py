@@ -80,3 +80,21 @@ def test_embedding_with_a_drawn_layer(spark, monkeypatch):
     a, b = ({r.doc_id: r.embedding for r in m.embed(docs).collect()} for m in (made, drawn))
     assert a.keys() == b.keys() and a[-1] is None and b[-1] is None
     assert all(np.allclose(a[k], b[k], atol=1e-4) for k in a if k >= 0)
+
+
+def test_a_large_vocabulary_stays_off_the_driver(spark, monkeypatch):
+    import numpy as np
+
+    from glyphmill.operators import embed
+
+    rows = [(2, [70000, 5], 2, 1.5), (0, [7], 1, 0.5), (1, [2**32 - 3, 1, 2], 3, 2.5)]
+    kept = spark.createDataFrame(rows, "idx int, ngram array<bigint>, n int, idf float").repartition(3)
+    made = embed.from_vocabulary(kept, "{}", (8, 4))
+    monkeypatch.setattr(embed, "MADE", 10)
+    filed = embed.from_vocabulary(kept, "{}", (8, 4))
+    assert not {"ngrams", "idf"} & filed.__dict__.keys() and filed.network.input_dim == 3
+    pad = 2**32 - 1
+    for m in (made, filed, filed.with_network(made.network)):
+        assert m.ngrams.tolist() == [[7, pad, pad], [2**32 - 3, 1, 2], [70000, 5, pad]] and np.allclose(m.idf, [0.5, 2.5, 1.5])
+    with pytest.raises(ValueError):
+        embed.from_vocabulary(kept.where("false"), "{}", (8, 4))
