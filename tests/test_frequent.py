@@ -98,3 +98,21 @@ def test_a_large_vocabulary_stays_off_the_driver(spark, monkeypatch):
         assert m.ngrams.tolist() == [[7, pad, pad], [2**32 - 3, 1, 2], [70000, 5, pad]] and np.allclose(m.idf, [0.5, 2.5, 1.5])
     with pytest.raises(ValueError):
         embed.from_vocabulary(kept.where("false"), "{}", (8, 4))
+
+
+def test_rounds_find_the_same_and_leave_nothing(spark, monkeypatch):
+    docs = frames(spark, corpus(9, 2), True)
+    want = vocabulary.select_vocabulary(ngrams.count_ngrams(docs, longest=5), 2.0, 400)
+    monkeypatch.setattr(frequent, "ROUND", 100)
+    monkeypatch.setattr(frequent, "BUCKET", 300)
+    seen, plain = [], frequent.written
+    monkeypatch.setattr(frequent, "written", lambda df: seen.append(plain(df)) or seen[-1])
+    got = frequent.frequent_words(docs, most=400, min_multiple=2.0, block=200)
+    assert len(got.folders) == frequent.ROUNDS
+    each = [spark.read.parquet(f).select("key").where("n > 1").distinct().count() for f in got.folders]
+    assert all(each) and spark.read.parquet(*got.folders).select("key").where("n > 1").distinct().count() == sum(each)
+    entries = got.vocabulary(last=True)
+    show = lambda df: sorted((r.idx, r.ngram, r.n, r["count"], round(r.idf, 5)) for r in df.collect())
+    assert show(entries) == show(want)
+    there = lambda folder: spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(folder))
+    assert not any(there(f) for f in got.folders) and sum(there(f) for _, f in seen) == 2  # words and vocabulary
