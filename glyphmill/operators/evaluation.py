@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import places
+
 #: Ranges of scores that are ranked apart in ``auc``.
 RANGES = 1024
 
@@ -26,7 +28,7 @@ def auc(scored: DataFrame, label: Column, score: Column, ranges: int = RANGES) -
     from pyspark.ml.feature import Bucketizer
 
     rows = scored.select(label.cast("int").alias("y"), score.cast("double").alias("s")).where("y IS NOT NULL AND s IS NOT NULL")
-    per = rows.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    per = places.stored(rows.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))  # scored once
     cuts = per.agg(F.percentile_approx("s", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
     splits = [-math.inf, *sorted({c for c in cuts if math.isfinite(c)}), math.inf]
     if len(splits) < 3:

@@ -38,3 +38,11 @@ def test_scores_of_empty_texts(spark, tmp_path):
     spark.createDataFrame([(1, ""), (2, "a,"), (3, "ab"), (4, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id bigint, quality bigint").write.parquet(f"{tmp_path}/labels.parquet")
     assert queries.QUERIES["auc"](spark, str(tmp_path)).first()[0] == 1.0
+
+
+def test_scores_are_joined_without_texts(spark, tmp_path):
+    spark.createDataFrame([(i, "a," * (i % 5) + "b") for i in range(40)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 > 2)) for i in range(40)], "doc_id bigint, quality bigint").write.parquet(f"{tmp_path}/labels.parquet")
+    plan = queries._scored(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    assert "text" not in plan[0] and "replace" in plan[1].lower()
+    assert queries.QUERIES["gini"](spark, str(tmp_path)).first()[0] == 1.0
