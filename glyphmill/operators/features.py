@@ -42,9 +42,35 @@ def bag_of_ngrams(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id"
 
 
 def bag_of_tokens(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
-    """``doc_id``, ``token``, ``tf`` for all tokens."""
-    found = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens_col).alias("token"))
-    return found.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    """``doc_id``, ``token``, ``tf`` for all tokens. Tokens are counted where the document is; only documents that
+    share an identifier are shuffled."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(tokens_col).alias("tokens"))
+    schema = f"doc_id {own.schema[0].dataType.simpleString()}, token {own.schema[1].dataType.elementType.simpleString()}, tf bigint"
+    count = lambda df: df.mapInArrow(lean(_tokens_counted), schema)
+    again, same = repeated(own), F.col("doc_id").eqNullSafe(F.col("same"))
+    if again.isEmpty():
+        return count(own)
+    sums = count(own.join(again, same, "left_semi")).groupBy("doc_id", "token").agg(F.sum("tf").alias("tf"))
+    return count(own.join(again, same, "left_anti")).unionByName(sums)
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """``same``: identifiers that more than one row has, stored."""
+    return written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("same")))[0]
+
+
+def _tokens_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(sizes):
+            hi = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOKED_UP, side="right")))
+            coded = batch.column(1).slice(at, hi - at).flatten().dictionary_encode(null_encoding="encode")
+            wide = max(1, len(coded.dictionary))
+            key = np.repeat(np.arange(at, hi), sizes[at:hi]) * wide + coded.indices.to_numpy(zero_copy_only=False)
+            key, tf = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(key // wide)), coded.dictionary.take(pa.array(key % wide)), pa.array(tf.astype(np.int64))], names=["doc_id", "token", "tf"])
+            at = hi
 
 
 def with_empty(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -110,7 +136,7 @@ def dense_layer(v: Column, rows: list[list[float]]) -> Column:
     return F.array(*[times(row) for row in rows])
 
 
-#: Tokens that ``ngram_rows`` looks up at once.
+#: Tokens that ``ngram_rows`` looks up and ``bag_of_tokens`` counts at once.
 LOOKED_UP = 1 << 18
 
 
@@ -171,7 +197,7 @@ def ngram_rows(docs: DataFrame, vocabulary: DataFrame, weighted: bool = False) -
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, indices array<int>, values array<double>"
     look = lambda df, w: df.select("doc_id", "tokens").mapInArrow(lean(_looked_up, vocabulary=entries, weighted=w), schema)
-    again, _ = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("same")))
+    again = repeated(docs)
     if again.isEmpty():
         return look(docs, weighted)
     same = F.col("doc_id").eqNullSafe(F.col("same"))

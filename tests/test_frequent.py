@@ -116,3 +116,19 @@ def test_rounds_find_the_same_and_leave_nothing(spark, monkeypatch):
     assert show(entries) == show(want)
     there = lambda folder: spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(folder))
     assert not any(there(f) for f in got.folders) and sum(there(f) for _, f in seen) == 2  # words and vocabulary
+
+
+def test_tokens_are_counted_by_document_without_a_shuffle(spark, monkeypatch):
+    from collections import Counter
+
+    from glyphmill.operators import features
+
+    monkeypatch.setattr(features, "LOOKED_UP", 7)
+    rows = [(1, ["a", "b", "a", None]), (2, []), (3, None), (4, ["é"] * 9), (None, ["a"])]
+    for more in ([], [(1, ["a", "c"]), (None, ["a", "b"])]):
+        docs = spark.createDataFrame(rows + more, "doc_id bigint, tokens array<string>").coalesce(1)
+        got = features.bag_of_tokens(docs)
+        want = Counter((d, t) for d, own in rows + more for t in own or [])
+        found = got.collect()
+        assert {(r.doc_id, r.token): r.tf for r in found} == want and len(found) == len(want)
+        assert more or "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
