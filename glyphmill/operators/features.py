@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .embed import Lookup, count_known
-from .frequent import Files, lean, numbers, written
+from .frequent import Files, lean, numbered, numbers, written
 from .network import Sparse
 from .ngrams import ngram_array
 
@@ -140,15 +140,21 @@ def dense_layer(v: Column, rows: list[list[float]]) -> Column:
 LOOKED_UP = 1 << 18
 
 
-def _entries(table: pa.Table) -> tuple[pa.Array, Lookup, np.ndarray, np.ndarray]:
-    """Words of a vocabulary, its n-grams as padded numbers of them, and its inverse frequencies, in order of idx."""
+def _entries(table: pa.Table) -> tuple[pa.Array | None, Lookup, np.ndarray, np.ndarray]:
+    """Words of a vocabulary, its n-grams as padded numbers of them, and its inverse frequencies, in order of idx. Where
+    n-grams are numbers already there are no words."""
     table = table.sort_by("idx").combine_chunks()
-    split = pc.split_pattern(table.column("ngram").combine_chunks(), " ") if table.num_rows else pa.array([], pa.list_(pa.string()))
-    coded = split.flatten().dictionary_encode()
+    if "tokens" in table.column_names:
+        split = table.column("tokens").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+        words, own = None, split.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
+    else:
+        split = pc.split_pattern(table.column("ngram").combine_chunks(), " ") if table.num_rows else pa.array([], pa.list_(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words, own = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
     sizes = np.diff(split.offsets.to_numpy())
     rows = np.full((len(sizes), int(sizes.max(initial=1))), np.iinfo(np.uint32).max, np.uint32)
-    rows[np.arange(rows.shape[1]) < sizes[:, None]] = coded.indices.to_numpy(zero_copy_only=False)
-    return coded.dictionary, Lookup(rows), rows, table.column("idf").to_numpy().astype(np.float64)
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = own
+    return words, Lookup(rows), rows, table.column("idf").to_numpy().astype(np.float64)
 
 
 def _weighed(x: Sparse, idf: np.ndarray) -> np.ndarray:
@@ -186,13 +192,16 @@ def _weights(batches: Iterator[pa.RecordBatch], vocabulary: Files) -> Iterator[p
         yield _row_batch(batch.column(0), x, _weighed(x, idf))
 
 
-def ngram_rows(docs: DataFrame, vocabulary: DataFrame, weighted: bool = False) -> DataFrame:
+def ngram_rows(docs: DataFrame, vocabulary: DataFrame, weighted: bool = False, known: Files | None = None) -> DataFrame:
     """Sparse rows ``doc_id``, ``indices`` (rising), ``values``: counts of each document's entries, or TF-IDF at unit
-    length. ``docs`` has ``doc_id`` and ``tokens``. A document without an entry has empty arrays; documents of one
+    length. ``docs`` has ``doc_id`` and ``tokens``, which with ``known`` are numbers of its words. A document without an entry has empty arrays; documents of one
     identifier are one row. Only such documents are shuffled.
 
     The vocabulary is read by each worker from files; what is looked up by hash is compared with the n-gram itself."""
-    _, folder = written(vocabulary.select("idx", "ngram", "idf"))
+    small = vocabulary.select("idx", "idf", "ngram")
+    if known is not None:  # workers that look up hold no words
+        small = small.select("idx", "idf", F.split("ngram", " ").alias("tokens")).mapInArrow(lean(numbered, words=known), "idx int, idf float, tokens array<int>")
+    _, folder = written(small)
     entries = Files(docs.sparkSession, folder)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, indices array<int>, values array<double>"

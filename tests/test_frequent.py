@@ -132,3 +132,49 @@ def test_tokens_are_counted_by_document_without_a_shuffle(spark, monkeypatch):
         found = got.collect()
         assert {(r.doc_id, r.token): r.tf for r in found} == want and len(found) == len(want)
         assert more or "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_are_cut_before_rare_ngrams(monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    docs = [d or [] for d in corpus(6)]
+    batch = lambda: iter([pa.RecordBatch.from_arrays([pa.array(docs, pa.list_(pa.int32()))], names=["tokens"])])
+    unpack = lambda key: tuple(np.frombuffer(key, ">u4").tolist())
+
+    def counted(shortest, longest, grams=None):
+        blobs = [r for b in frequent._windows(batch(), None, longest, 1, 32, False, 300, shortest=shortest, grams=grams) for r in b.to_pylist()]
+        rows = [r for b in frequent._counted([(r["rows"], r["data"]) for r in blobs], 0, longest, 32, 3, 1.0, 10**6, shortest) for r in b.to_pylist() if r["n"]]
+        return {unpack(r["key"]): r["count"] for r in rows}, sum(len(r["data"]) for r in blobs)
+
+    def bits(keys, n):
+        packed = [np.array(k, ">u4").tobytes() for k in keys if len(k) == n]
+        places = frequent._gram_places(iter([pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["key"])]), n)
+        found = {r["part"]: r["data"] for b in frequent._gram_parts(places) for r in b.to_pylist()}
+        none = bytes((1 << frequent.GRAM_BITS) // frequent.GRAM_PARTS // 8)
+        return n, SimpleNamespace(value=b"".join(found.get(k, none) for k in range(frequent.GRAM_PARTS)))
+
+    want = {k: c for k, c in brute(docs, 5).items() if c >= 3}
+    for size in (26, 9):  # with few bits n-grams share them
+        monkeypatch.setattr(frequent, "GRAM_BITS", size)
+        two, _ = counted(2, 2)
+        three, cut = counted(3, 3, bits(two, 2))
+        more, short = counted(4, 5, bits(three, 3))
+        assert two | three | more == {k: c for k, c in want.items() if len(k) > 1}
+        assert size == 9 or cut < 0.8 * counted(3, 3)[1] and short < 0.5 * counted(4, 5)[1]
+
+
+def test_lengths_are_counted_in_turn_over_numbers(spark, monkeypatch):
+    docs = frames(spark, corpus(3), True)
+    want = {tuple(r) for r in ngrams.count_ngrams(docs, longest=5).where("count >= 2").collect()}
+    calls, plain = [], frequent._counts
+    monkeypatch.setattr(frequent, "_counts", lambda df, words, longest, *a, **k: calls.append((k.get("shortest"), longest, k.get("grams") is not None, df.dtypes)) or plain(df, words, longest, *a, **k))
+    got = frequent.frequent_words(docs, min_multiple=2.0, block=200, keep=("doc_id",))
+    assert {(r.ngram, r.n, r["count"]) for r in got.rows.collect()} == want
+    assert [c[:3] for c in calls] == [(2, 2, False), (3, 3, True), (4, 5, True)] and all(c[3] == [("tokens", "array<int>")] for c in calls)
+    assert sorted(r.doc_id for r in got.numbered.collect()) == sorted(r.doc_id for r in docs.collect())
+    for n in (1, 2):  # no longer n-grams than these
+        own = frequent.frequent_words(docs, longest=n, min_multiple=2.0)
+        assert {(r.ngram, r.n, r["count"]) for r in own.rows.collect()} == {x for x in want if x[1] <= n}
