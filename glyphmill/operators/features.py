@@ -10,6 +10,7 @@ know it pass ``vocabulary_rows``, and up to ``BROADCAST_ROWS`` the n-grams of th
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from .ngrams import ngram_array
 BROADCAST_ROWS = 500_000
 #: Entries up to which numbers alone (16 to 24 bytes an entry, so at most 48 MB) are broadcast.
 HASHED_ROWS = 2_000_000
+Stage = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def bag_of_ngrams(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", longest: int = 5, separator: str = " ", vocabulary_rows: int | None = None) -> DataFrame:
@@ -143,18 +145,22 @@ LOOKED_UP = 1 << 18
 def _entries(table: pa.Table) -> tuple[pa.Array | None, Lookup, np.ndarray, np.ndarray]:
     """Words of a vocabulary, its n-grams as padded numbers of them, and its inverse frequencies, in order of idx. Where
     n-grams are numbers already there are no words."""
-    table = table.sort_by("idx").combine_chunks()
-    if "tokens" in table.column_names:
-        split = table.column("tokens").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
-        words, own = None, split.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-    else:
-        split = pc.split_pattern(table.column("ngram").combine_chunks(), " ") if table.num_rows else pa.array([], pa.list_(pa.string()))
-        coded = split.flatten().dictionary_encode()
-        words, own = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-    sizes = np.diff(split.offsets.to_numpy())
-    rows = np.full((len(sizes), int(sizes.max(initial=1))), np.iinfo(np.uint32).max, np.uint32)
-    rows[np.arange(rows.shape[1]) < sizes[:, None]] = own
-    return words, Lookup(rows), rows, table.column("idf").to_numpy().astype(np.float64)
+    idx, column = table.column("idx").to_numpy(), table.column("tokens" if "tokens" in table.column_names else "ngram")
+    turn, words = np.argsort(idx, kind="stable"), None
+    if not pa.types.is_list(column.type):
+        lists = pc.split_pattern(column.combine_chunks(), " ") if table.num_rows else pa.array([], pa.list_(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        words, column = coded.dictionary, pa.chunked_array([pa.ListArray.from_arrays(lists.offsets, coded.indices)])
+    place = np.empty(len(turn), np.int64)
+    place[turn] = np.arange(len(turn))
+    rows, at = np.full((len(turn), max(1, pc.max(pc.list_value_length(column)).as_py() or 1)), np.iinfo(np.uint32).max, np.uint32), 0
+    for lists in column.chunks:  # a chunk at a time: workers open this at once, and what it takes counts for each
+        sizes = np.diff(lists.offsets.to_numpy())
+        for k in range(rows.shape[1]):
+            some = np.flatnonzero(sizes > k)
+            rows[place[at + some], k] = lists.flatten().to_numpy(zero_copy_only=False)[lists.offsets.to_numpy()[some] - lists.offsets[0].as_py() + k]
+        at += len(sizes)
+    return words, Lookup(rows), rows, table.column("idf").to_numpy()[turn].astype(np.float64)
 
 
 def _weighed(x: Sparse, idf: np.ndarray) -> np.ndarray:
@@ -171,7 +177,12 @@ def _row_batch(ids: pa.Array, x: Sparse, values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, *lists], names=["doc_id", "indices", "values"])
 
 
-def _looked_up(batches: Iterator[pa.RecordBatch], vocabulary: Files, weighted: bool) -> Iterator[pa.RecordBatch]:
+def _looked_up(batches: Iterator[pa.RecordBatch], vocabulary: Files, weighted: bool, then: Stage | None = None) -> Iterator[pa.RecordBatch]:
+    found = _counted(batches, vocabulary, weighted)
+    yield from found if then is None else then(found)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], vocabulary: Files, weighted: bool) -> Iterator[pa.RecordBatch]:
     words, lookup, rows, idf = vocabulary.open(_entries)
     for batch in batches:
         column, at = batch.column(1), 0
@@ -184,20 +195,25 @@ def _looked_up(batches: Iterator[pa.RecordBatch], vocabulary: Files, weighted: b
             at = hi
 
 
-def _weights(batches: Iterator[pa.RecordBatch], vocabulary: Files) -> Iterator[pa.RecordBatch]:
-    _, _, rows, idf = vocabulary.open(_entries)
-    for batch in batches:
-        at = batch.column(1).offsets.to_numpy().astype(np.int64)
-        x = Sparse(at - at[0], batch.column(1).flatten().to_numpy().astype(np.int64), batch.column(2).flatten().to_numpy(), len(rows))
-        yield _row_batch(batch.column(0), x, _weighed(x, idf))
+def _weights(batches: Iterator[pa.RecordBatch], vocabulary: Files, then: Stage | None = None) -> Iterator[pa.RecordBatch]:
+    def weighed() -> Iterator[pa.RecordBatch]:
+        _, _, rows, idf = vocabulary.open(_entries)
+        for batch in batches:
+            at = batch.column(1).offsets.to_numpy().astype(np.int64)
+            x = Sparse(at - at[0], batch.column(1).flatten().to_numpy().astype(np.int64), batch.column(2).flatten().to_numpy(), len(rows))
+            yield _row_batch(batch.column(0), x, _weighed(x, idf))
+
+    yield from weighed() if then is None else then(weighed())
 
 
-def ngram_rows(docs: DataFrame, vocabulary: DataFrame, weighted: bool = False, known: Files | None = None) -> DataFrame:
+def ngram_rows(docs: DataFrame, vocabulary: DataFrame, weighted: bool = False, known: Files | None = None, then: Stage | None = None, made: str = "") -> DataFrame:
     """Sparse rows ``doc_id``, ``indices`` (rising), ``values``: counts of each document's entries, or TF-IDF at unit
     length. ``docs`` has ``doc_id`` and ``tokens``, which with ``known`` are numbers of its words. A document without an entry has empty arrays; documents of one
     identifier are one row. Only such documents are shuffled.
 
-    The vocabulary is read by each worker from files; what is looked up by hash is compared with the n-gram itself."""
+    The vocabulary is read by each worker from files; what is looked up by hash is compared with the n-gram itself.
+    ``then`` is a stage over these rows that runs in the worker that makes them, so they don't go to the engine and on
+    to another worker; ``made`` are the columns it makes beside ``doc_id``."""
     small = vocabulary.select("idx", "idf", "ngram")
     if known is not None:  # workers that look up hold no words
         small = small.select("idx", "idf", F.split("ngram", " ").alias("tokens")).mapInArrow(lean(numbered, words=known), "idx int, idf float, tokens array<int>")
@@ -205,31 +221,35 @@ def ngram_rows(docs: DataFrame, vocabulary: DataFrame, weighted: bool = False, k
     entries = Files(docs.sparkSession, folder)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, indices array<int>, values array<double>"
-    look = lambda df, w: df.select("doc_id", "tokens").mapInArrow(lean(_looked_up, vocabulary=entries, weighted=w), schema)
+    out = f"doc_id {kind}, {made}" if then is not None else schema
+    look = lambda df, w, then=None: df.select("doc_id", "tokens").mapInArrow(lean(_looked_up, vocabulary=entries, weighted=w, then=then), schema if then is None else out)
     again = repeated(docs)
     if again.isEmpty():
-        return look(docs, weighted)
+        return look(docs, weighted, then)
     same = F.col("doc_id").eqNullSafe(F.col("same"))
     entry = F.explode(F.arrays_zip("indices", "values")).alias("e")
     found = look(docs.join(again, same, "left_semi"), False)
     sums = found.select("doc_id", entry).groupBy("doc_id", F.col("e.indices").alias("idx")).agg(F.sum("e.values").alias("tf"))
     rows = found.select("doc_id").distinct().alias("d").join(to_rows(sums, "tf").alias("r"), F.expr("d.doc_id <=> r.doc_id"), "left").select("d.doc_id", F.coalesce("indices", F.array().cast("array<int>")).alias("indices"), F.coalesce("values", F.array().cast("array<double>")).alias("values"))
     if weighted:
-        rows = rows.mapInArrow(lean(_weights, vocabulary=entries), schema)
-    return look(docs.join(again, same, "left_anti"), weighted).unionByName(rows)
+        rows = rows.mapInArrow(lean(_weights, vocabulary=entries, then=then), out)
+    elif then is not None:
+        rows = rows.mapInArrow(lean(then), out)
+    return look(docs.join(again, same, "left_anti"), weighted, then).unionByName(rows)
 
 
 def _projected(batches: Iterator[pa.RecordBatch], column: Callable[[np.ndarray, int], np.ndarray], dims: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.column(1).offsets.to_numpy().astype(np.int64)
         idx, x = batch.column(1).flatten().to_numpy().astype(np.int64), batch.column(2).flatten().to_numpy()
-        row = np.repeat(np.arange(len(batch)), np.diff(at))
-        sums = np.stack([np.bincount(row, x * column(idx, k), len(batch)) for k in range(dims)], axis=1)
-        lists = pa.ListArray.from_arrays(pa.array((np.arange(len(batch) + 1) * dims).astype(np.int32)), pa.array(sums.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "v"])
+        row, some = np.repeat(np.arange(len(batch)), np.diff(at)), np.flatnonzero(np.diff(at))
+        sums = np.stack([np.bincount(row, x * column(idx, k), len(batch))[some] for k in range(dims)], axis=1)
+        lists = pa.ListArray.from_arrays(pa.array((np.arange(len(some) + 1) * dims).astype(np.int32)), pa.array(sums.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), lists], names=["doc_id", "v"])
 
 
-def project_rows(rows: DataFrame, column: Callable[[np.ndarray, int], np.ndarray], dims: int) -> DataFrame:
-    """Sparse rows times a matrix given by a function of indices and column: ``doc_id`` and ``v array<double>``."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "indices", "values").mapInArrow(lean(_projected, column=column, dims=dims), f"doc_id {kind}, v array<double>")
+def project_rows(docs: DataFrame, vocabulary: DataFrame, column: Callable[[np.ndarray, int], np.ndarray], dims: int, known: Files | None = None) -> DataFrame:
+    """TF-IDF rows times a matrix given by a function of indices and column: ``doc_id`` and ``v array<double>`` of the
+    documents that have an entry. The arguments are otherwise those of ``ngram_rows``; a row is multiplied in the
+    worker that makes it."""
+    return ngram_rows(docs, vocabulary, True, known, partial(_projected, column=column, dims=dims), "v array<double>")

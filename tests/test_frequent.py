@@ -178,3 +178,41 @@ def test_lengths_are_counted_in_turn_over_numbers(spark, monkeypatch):
     for n in (1, 2):  # no longer n-grams than these
         own = frequent.frequent_words(docs, longest=n, min_multiple=2.0)
         assert {(r.ngram, r.n, r["count"]) for r in own.rows.collect()} == {x for x in want if x[1] <= n}
+
+
+def test_rows_are_projected_by_the_worker_that_makes_them(spark):
+    import numpy as np
+
+    from glyphmill.operators import features
+
+    column = lambda idx, k: ((idx * 31 + k * 17) % 101 - 50) / 50.0
+    rows = [(1, ["a", "b", "a"]), (2, []), (3, None), (4, ["b"] * 9), (5, ["é", "z"])]
+    words = spark.createDataFrame([(2, "a", 0.5), (0, "b", 2.0), (1, "a b", 1.5), (3, "é", 0.25)], "idx int, ngram string, idf float").repartition(3)
+    for more in ([], [(4, ["a", "b"]), (2, [])]):
+        docs = spark.createDataFrame(rows + more, "doc_id bigint, tokens array<string>").coalesce(1)
+        got = features.project_rows(docs, words, column, 3)
+        want = {}
+        for r in features.ngram_rows(docs, words, weighted=True).collect():
+            if r.indices:
+                want[r.doc_id] = [sum(v * column(i, k) for i, v in zip(r.indices, r["values"])) for k in range(3)]
+        found = {r.doc_id: r.v for r in got.collect()}
+        assert found.keys() == want.keys() == {1, 4, 5} and all(np.allclose(found[d], want[d]) for d in want)
+        assert more or got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_vocabulary_in_any_order_and_parts_is_put_in_order():
+    import numpy as np
+    import pyarrow as pa
+
+    from glyphmill.operators import features
+
+    grams = [[7], [1, 2, 3], [2, 2], [9], [5, 6, 7, 8, 9], [3, 1]]
+    for parts in ([[3, 0], [5, 4, 1], [2]], [[0, 1, 2, 3, 4, 5]], [[]]):
+        own = [p for part in parts for p in part]
+        table = pa.concat_tables([pa.table({"idx": pa.array(p, pa.int32()), "idf": pa.array([i / 2 for i in p], pa.float32()), "tokens": pa.array([grams[i] for i in p], pa.list_(pa.int32()))}) for p in parts])
+        words, _, rows, idf = features._entries(table)
+        pad = np.iinfo(np.uint32).max
+        assert words is None and [[x for x in r if x != pad] for r in rows.tolist()] == grams[: len(own)] and idf.tolist() == [i / 2 for i in range(len(own))]
+        named = table.set_column(2, "ngram", pa.array([" ".join(f"w{t}" for t in grams[i]) for i in own], pa.string()))
+        words, _, rows, _ = features._entries(named)
+        assert [[int(words[x].as_py()[1:]) for x in r if x != pad] for r in rows.tolist()] == grams[: len(own)]
