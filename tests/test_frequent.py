@@ -216,3 +216,22 @@ def test_a_vocabulary_in_any_order_and_parts_is_put_in_order():
         named = table.set_column(2, "ngram", pa.array([" ".join(f"w{t}" for t in grams[i]) for i in own], pa.string()))
         words, _, rows, _ = features._entries(named)
         assert [[int(words[x].as_py()[1:]) for x in r if x != pad] for r in rows.tolist()] == grams[: len(own)]
+
+
+def test_small_batches_are_numbered_together(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rows = [(i, None if i % 7 == 3 else [f"w{(i * k) % 11}" for k in range(i % 5)]) for i in range(60)]
+    batches = [pa.RecordBatch.from_pylist([{"id": i, "tokens": t} for i, t in rows[k : k + 4]], pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.string()))])) for k in range(0, 60, 4)]
+    known = pa.array([f"w{k}" for k in range(9)])
+    calls, plain = [], frequent.numbers
+    monkeypatch.setattr(frequent, "numbers", lambda column, words: calls.append(len(column)) or plain(column, words))
+    for block, most in ((10**6, 1), (40, 6), (1, 60)):
+        monkeypatch.setattr(frequent, "BLOCK", block)
+        calls.clear()
+        got = [r for b in frequent.numbered(iter(batches), SimpleNamespace(open=lambda make: known)) for r in b.to_pylist()]
+        assert [(r["id"], r["tokens"]) for r in got] == [(i, [int(w[1:]) if int(w[1:]) < 9 else -2 for w in t or []]) for i, t in rows]
+        assert len(calls) <= most
+    assert list(frequent.numbered(iter([]), SimpleNamespace(open=lambda make: known))) == []
